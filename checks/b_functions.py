@@ -127,8 +127,8 @@ def b7(spark, sf):
     )
     return rows.select(
         "comment_id",
-        lb.map_get(F.col("labels"), "toxic", False).alias("toxic"),
-        *lb.flatten_labels(F.col("labels"), "_flag", False),
+        lb.map_get("labels", "toxic", False).alias("toxic"),
+        *lb.flatten_labels("labels", "_flag", False),
     )
 
 
@@ -158,15 +158,15 @@ def b9(spark, sf):
 
 @check(
     "b10_round_half_even",
-    """SELECT event_id, round_even(value / CAST(1000 AS DOUBLE), 4) AS four, round_even(value / CAST(1000 AS DOUBLE), 3) AS three,
+    """SELECT event_id, round_even(value / CAST(1000 AS DOUBLE), 4) AS four, round_even(value / CAST(7 AS DOUBLE), 3) AS three,
   round_even(event_id % 32 / CAST(32 AS DOUBLE), 3) AS ties FROM events""",
 )
 def b10(spark, sf):
-    latency = F.col("value") / F.lit(1000.0)
+    value = F.col("value")
     return views.table(spark, sf, "events").select(
         "event_id",
-        round_half_even(latency, 4).alias("four"),
-        round_half_even(latency, 3).alias("three"),
+        round_half_even(value / F.lit(1000.0), 4).alias("four"),
+        round_half_even(value / F.lit(7.0), 3).alias("three"),
         round_half_even(F.col("event_id") % 32 / F.lit(32.0), 3).alias("ties"),
     )
 
@@ -180,9 +180,8 @@ def b10(spark, sf):
     ),
 )
 def b11(spark, sf):
-    return views.scored(spark, sf).select(
-        "comment_id", lb.positive_labels(lb.label_map(pred_cols())).alias("labels")
-    )
+    rows = views.scored(spark, sf).select("comment_id", lb.label_map(pred_cols()).alias("flags"))
+    return rows.select("comment_id", lb.positive_labels("flags").alias("labels"))
 
 
 @check(
@@ -190,10 +189,9 @@ def b11(spark, sf):
     query([SCORED], "SELECT comment_id, " + listed("NOT {l}_pred AS {l}_true") + " FROM scored"),
 )
 def b12(spark, sf):
-    rows = views.scored(spark, sf).select(
-        "comment_id", lb.invert_labels(lb.label_map(pred_cols())).alias("labels")
-    )
-    return rows.select("comment_id", *lb.flatten_labels(F.col("labels"), "_true", False))
+    rows = views.scored(spark, sf).select("comment_id", lb.label_map(pred_cols()).alias("flags"))
+    inverted = rows.select("comment_id", lb.invert_labels("flags").alias("labels"))
+    return inverted.select("comment_id", *lb.flatten_labels("labels", "_true", False))
 
 
 @check(
@@ -206,5 +204,5 @@ def b12(spark, sf):
 def b13(spark, sf):
     return views.feedback(spark, sf).select(
         "event_id",
-        lb.labels_equal(F.col("predicted_labels"), F.col("true_labels")).alias("is_prediction_correct"),
+        lb.labels_equal("predicted_labels", "true_labels").alias("is_prediction_correct"),
     )

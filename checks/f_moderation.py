@@ -109,8 +109,8 @@ def f5(spark, sf):
 def f6(spark, sf):
     return queue_rows(
         views.review_queue(spark, sf),
-        positive_labels(F.col("toxicity_predictions")).alias("labels"),
-        *flatten_labels(F.col("toxicity_probabilities"), "_prob", 0.0),
+        positive_labels("toxicity_predictions").alias("labels"),
+        *flatten_labels("toxicity_probabilities", "_prob", 0.0),
     )
 
 

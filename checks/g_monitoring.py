@@ -8,6 +8,7 @@ from checks.registry import check, r6, shown
 from checks.sql import BASE, COMMENTS, FEEDBACK, PREDICTIONS, PREDS, PROBS, iso, listed, query, title
 from checks.sql import shown as shown_sql
 from checks.f_moderation import RANK, REVIEW_CTES
+from modlytics.functions.values import round_half_even
 from modlytics.operators import drift, monitor, queue
 from modlytics.plans import views
 
@@ -229,7 +230,7 @@ GROUP BY source, step""",
 )
 def g13(spark, sf):
     return drift.length_density(length_drift(spark, sf)).withColumns(
-        {"x": r6("x"), "density": F.bround("density", 9)}
+        {"x": r6("x"), "density": round_half_even(F.col("density"), 9)}
     )
 
 

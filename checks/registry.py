@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from modlytics.functions.values import round_half_even
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -34,4 +36,4 @@ def shown(ts: Column) -> Column:
 
 def r6(value: Column | str) -> Column:
     """Averages and sums of doubles are compared at six places."""
-    return F.bround(F.col(value) if isinstance(value, str) else value, 6)
+    return round_half_even(F.col(value) if isinstance(value, str) else value, 6)

@@ -7,8 +7,17 @@ from pyspark.sql import functions as F
 
 
 def round_half_even(value: Column, places: int = 4) -> Column:
-    """Ties go to the even digit: 0.0625 at three places is 0.062."""
-    return F.bround(value, places)
+    """Scale, round to the even neighbour, scale back: 0.0625 at three places is 0.062.
+
+    ``bround`` works on the shortest decimal form of a double instead, and so sees ties
+    in values that are not halfway in binary.
+    """
+    scale = float(10**places)
+    return F.rint(value * scale) / scale
+
+
+def round_half_even_sql(value: str, places: int) -> str:
+    return f"rint(({value}) * 1e{places}) / 1e{places}"
 
 
 def parse_ts(text: Column) -> Column:
@@ -34,11 +43,13 @@ def percent(share: Column) -> Column:
     return F.concat(F.format_number(share * 100, 2), F.lit("%"))
 
 
-def rows_of(df: DataFrame, *rows: dict[str, Column]) -> DataFrame:
-    """Turn each row of ``df`` into one row per given dict of columns.
+def rows_of(df: DataFrame, *rows: dict[str, str]) -> DataFrame:
+    """Turn each row of ``df`` into one row per given dict of SQL expressions.
 
     Used on one-row aggregates: all labels are counted in a single pass over the
     data and only the finished numbers are laid out as rows.
     """
-    structs = [F.struct(*(column.alias(name) for name, column in row.items())) for row in rows]
-    return df.select(F.inline(F.array(*structs)))
+    structs = [
+        "struct(" + ", ".join(f"{sql} AS {name}" for name, sql in row.items()) + ")" for row in rows
+    ]
+    return df.selectExpr(f"inline(array({', '.join(structs)}))")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modlytics.functions.text import preview, text_length
+from modlytics.functions.values import round_half_even
 from modlytics.operators.sampling import sample_rows
 
 TRAINING, INFERENCE = "Training Data", "Inference"
@@ -56,7 +57,7 @@ def confidence_box(predictions: DataFrame, places: int = 4) -> DataFrame:
         predictions.filter(F.col("max_probability").isNotNull() & F.col("is_toxic").isNotNull())
         .groupBy(
             group.alias("prediction"),
-            F.bround("max_probability", places).alias("value"),
+            round_half_even(F.col("max_probability"), places).alias("value"),
         )
         .agg(F.count(F.lit(1)).alias("rows"))
     )

@@ -7,9 +7,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modlytics.functions.labels import flatten_labels, label_title
+from modlytics.functions.labels import flatten_labels
 from modlytics.functions.text import text_length
-from modlytics.functions.values import event_date, parse_ts, percent, round_half_even, rows_of
+from modlytics.functions.values import (
+    event_date,
+    parse_ts,
+    percent,
+    round_half_even,
+    round_half_even_sql,
+    rows_of,
+)
 from modlytics.schema import LABELS
 
 
@@ -39,8 +46,8 @@ def parse_predictions(logs: DataFrame, null_defaults: bool = False) -> DataFrame
         filled("is_toxic", False),
         filled("max_probability", zero),
         "prediction_latency",
-        *flatten_labels(F.col("probabilities"), "_prob", zero),
-        *flatten_labels(F.col("predictions"), "_pred", no),
+        *flatten_labels("probabilities", "_prob", zero),
+        *flatten_labels("predictions", "_pred", no),
         parse_ts(F.col("timestamp")).alias("ts"),
     )
 
@@ -55,11 +62,11 @@ def parse_feedback(logs: DataFrame) -> DataFrame:
         text_length(F.col("request_text"), null_as_zero=True).alias("text_length"),
         "is_prediction_correct",
         F.coalesce("user_comments", F.lit("")).alias("user_comments"),
-        *flatten_labels(F.col("predicted_labels"), "_predicted", False),
-        *flatten_labels(F.col("true_labels"), "_true", False),
+        *flatten_labels("predicted_labels", "_predicted", False),
+        *flatten_labels("true_labels", "_true", False),
     )
     return flat.withColumns(
-        {f"{label}_correct": F.col(f"{label}_predicted") == F.col(f"{label}_true") for label in LABELS}
+        {f"{label}_correct": F.expr(f"{label}_predicted = {label}_true") for label in LABELS}
     )
 
 
@@ -113,36 +120,34 @@ def latency_series(predictions: DataFrame, ts: str = "ts") -> DataFrame:
     )
 
 
-def _per_label(df: DataFrame, **columns) -> DataFrame:
-    """One row per label out of a one-row aggregate."""
-    return rows_of(
-        df,
+def _title(label: str) -> str:
+    return f"initcap(replace('{label}', '_', ' '))"
+
+
+def type_frequency(predictions: DataFrame) -> DataFrame:
+    """How often each label was predicted, most frequent first."""
+    set_ = [f"count_if({label}_pred) AS {label}_set" for label in LABELS]
+    known = [f"count({label}_pred) AS {label}_known" for label in LABELS]
+    rows = rows_of(
+        predictions.agg(*(F.expr(sql) for sql in set_ + known)),
         *(
             {
-                "toxicity_type": label_title(F.lit(label)),
-                **{name: F.col(pattern.format(label)) for name, pattern in columns.items()},
+                "toxicity_type": _title(label),
+                "prediction_rate": f"try_divide({label}_set, {label}_known)",
+                "count": f"{label}_set",
             }
             for label in LABELS
         ),
     )
-
-
-def type_frequency(predictions: DataFrame) -> DataFrame:
-    """How often each label was predicted, most frequent first."""
-    aggregates = []
-    for label in LABELS:
-        aggregates += [
-            _share(f"{label}_pred").alias(f"{label}_rate"),
-            F.count_if(f"{label}_pred").alias(f"{label}_count"),
-        ]
-    rows = _per_label(predictions.agg(*aggregates), prediction_rate="{}_rate", count="{}_count")
     return rows.orderBy(F.desc("prediction_rate"), "toxicity_type")
 
 
 def type_confidence(predictions: DataFrame) -> DataFrame:
     """Mean probability per label."""
-    means = predictions.agg(*(F.avg(f"{label}_prob").alias(f"{label}_mean") for label in LABELS))
-    return _per_label(means, average_probability="{}_mean")
+    means = predictions.agg(*(F.expr(f"avg({label}_prob) AS {label}") for label in LABELS))
+    return rows_of(
+        means, *({"toxicity_type": _title(label), "average_probability": label} for label in LABELS)
+    )
 
 
 def user_accuracy(feedback: DataFrame) -> DataFrame:
@@ -151,39 +156,37 @@ def user_accuracy(feedback: DataFrame) -> DataFrame:
 
 def label_performance(feedback: DataFrame, places: int = 3) -> DataFrame:
     """Accuracy, precision, recall and F1 per label with a true positive example."""
-    aggregates = [F.count(F.lit(1)).alias("rows")]
+    counts = ["count(1) AS n"]
     for label in LABELS:
-        predicted, true = F.col(f"{label}_predicted"), F.col(f"{label}_true")
-        aggregates += [
-            F.count_if(predicted & true).alias(f"{label}_tp"),
-            F.count_if(predicted).alias(f"{label}_p"),
-            F.count_if(true).alias(f"{label}_t"),
-            F.count_if(predicted == true).alias(f"{label}_ok"),
+        guess, true = f"{label}_predicted", f"{label}_true"
+        counts += [
+            f"count_if({guess} AND {true}) AS {label}_both",
+            f"count_if({guess}) AS {label}_guessed",
+            f"count_if({true}) AS {label}_given",
+            f"count_if({guess} = {true}) AS {label}_right",
         ]
-    counts = feedback.agg(*aggregates)
-    ratio = lambda top, bottom: round_half_even(
-        F.coalesce(F.try_divide(top, bottom), F.lit(0.0)), places
+    ratio = lambda top, bottom: round_half_even_sql(
+        f"coalesce(try_divide({top}, {bottom}), 0D)", places
     )
-    rows = []
-    for label in LABELS:
-        tp, p, t, ok = (F.col(f"{label}_{part}") for part in ("tp", "p", "t", "ok"))
-        rows.append(
-            {
-                "toxicity_type": label_title(F.lit(label)),
-                "true_rows": t,
-                "accuracy": ratio(ok, F.col("rows")),
-                "precision": ratio(tp, p),
-                "recall": ratio(tp, t),
-                "f1_score": ratio(2 * tp, p + t),
-            }
-        )
-    return rows_of(counts, *rows).filter(F.col("true_rows") > 0).drop("true_rows")
+    rows = (
+        {
+            "toxicity_type": _title(label),
+            "given": f"{label}_given",
+            "accuracy": ratio(f"{label}_right", "n"),
+            "precision": ratio(f"{label}_both", f"{label}_guessed"),
+            "recall": ratio(f"{label}_both", f"{label}_given"),
+            "f1_score": ratio(f"2 * {label}_both", f"({label}_guessed + {label}_given)"),
+        }
+        for label in LABELS
+    )
+    table = rows_of(feedback.agg(*(F.expr(sql) for sql in counts)), *rows)
+    return table.filter(F.col("given") > 0).drop("given")
 
 
 def feedback_table(feedback_logs: DataFrame) -> DataFrame:
     """Feedback as given; a label the user did not state stays null."""
     stated = [
-        F.try_element_at("true_labels", F.lit(label)).alias(f"is_{label}") for label in LABELS
+        F.expr(f"try_element_at(true_labels, '{label}') AS is_{label}") for label in LABELS
     ]
     return filter_feedback(feedback_logs).select(
         F.coalesce("request_text", F.lit("")).alias("text"), "is_prediction_correct", *stated

@@ -23,9 +23,9 @@ def require_columns(df: DataFrame, names=LABELS) -> DataFrame:
 
 def null_counts(df: DataFrame) -> DataFrame:
     """Nulls per column, in one pass."""
-    counted = df.agg(*(F.count_if(F.col(name).isNull()).alias(name) for name in df.columns))
+    counted = df.agg(*(F.expr(f"count_if(`{name}` IS NULL)").alias(name) for name in df.columns))
     return rows_of(
-        counted, *({"column_name": F.lit(name), "null_count": F.col(name)} for name in df.columns)
+        counted, *({"column_name": f"'{name}'", "null_count": f"`{name}`"} for name in df.columns)
     )
 
 
@@ -36,20 +36,17 @@ def dataset_shape(df: DataFrame) -> DataFrame:
 
 def label_statistics(df: DataFrame, labels=LABELS) -> DataFrame:
     """Rate and count of positives per label, all labels in one pass."""
-    aggregates = [F.count(F.lit(1)).alias("rows")]
-    for label in labels:
-        aggregates += [
-            F.coalesce(F.sum(F.col(label).cast("bigint")), F.lit(0)).alias(f"{label}_sum"),
-            F.count(label).alias(f"{label}_known"),
-        ]
+    sums = [f"coalesce(sum(bigint({label})), 0L) AS {label}_sum" for label in labels]
+    known = [f"count({label}) AS {label}_known" for label in labels]
+    counted = df.agg(*(F.expr(sql) for sql in ["count(1) AS n", *sums, *known]))
     return rows_of(
-        df.agg(*aggregates),
+        counted,
         *(
             {
-                "label": F.lit(label),
-                "positive_rate": F.try_divide(F.col(f"{label}_sum"), F.col(f"{label}_known")),
-                "positive_count": F.col(f"{label}_sum"),
-                "total_count": F.col("rows"),
+                "label": f"'{label}'",
+                "positive_rate": f"try_divide({label}_sum, {label}_known)",
+                "positive_count": f"{label}_sum",
+                "total_count": "n",
             }
             for label in labels
         ),
@@ -65,32 +62,20 @@ def prepare_dataset(df: DataFrame, text: str = "comment_text") -> DataFrame:
 
 def dataset_profile(df: DataFrame) -> DataFrame:
     """Shape, nulls and label statistics as (section, name, metric, value) rows."""
-    shape = dataset_shape(df)
-    rows = [
-        rows_of(
-            shape,
-            *(
-                {"section": F.lit("shape"), "name": F.lit("dataset"), "metric": F.lit(metric),
-                 "value": F.col(metric).cast("double")}
-                for metric in ("row_count", "column_count")
-            ),
-        ),
-        null_counts(df).select(
-            F.lit("missing_values").alias("section"),
-            F.col("column_name").alias("name"),
-            F.lit("null_count").alias("metric"),
-            F.col("null_count").cast("double").alias("value"),
-        ),
-        rows_of(
-            label_statistics(df),
-            *(
-                {"section": F.lit("label_statistics"), "name": F.col("label"),
-                 "metric": F.lit(metric), "value": F.col(metric).cast("double")}
-                for metric in ("positive_rate", "positive_count", "total_count")
-            ),
-        ),
+    entry = lambda section, name, metric: {
+        "section": f"'{section}'", "name": name, "metric": f"'{metric}'", "value": f"double({metric})"
+    }
+    shape = [entry("shape", "'dataset'", metric) for metric in ("row_count", "column_count")]
+    missing = entry("missing_values", "column_name", "null_count")
+    statistics = [
+        entry("label_statistics", "label", metric)
+        for metric in ("positive_rate", "positive_count", "total_count")
     ]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+    return (
+        rows_of(dataset_shape(df), *shape)
+        .unionByName(rows_of(null_counts(df), missing))
+        .unionByName(rows_of(label_statistics(df), *statistics))
+    )
 
 
 def validation_report(

@@ -99,7 +99,7 @@ def queue_breakdown(queue: DataFrame) -> DataFrame:
     return rows_of(
         stats,
         *(
-            {"section": F.lit(section), "name": F.lit(name), "items": F.col(column)}
+            {"section": f"'{section}'", "name": f"'{name}'", "items": column}
             for section, name, column in sections
         ),
     )

@@ -18,7 +18,9 @@ def log_records(df: DataFrame, fields: dict[str, Column]) -> DataFrame:
         raise ValueError(f"Not log fields: {sorted(unknown)}")
     return df.select(
         *(
-            fields.get(field.name, F.lit(None)).cast(field.dataType).alias(field.name)
+            fields[field.name].cast(field.dataType).alias(field.name)
+            if field.name in fields
+            else F.expr(f"CAST(NULL AS {field.dataType.simpleString()}) AS {field.name}")
             for field in LOG_SCHEMA
         )
     )
@@ -98,7 +100,7 @@ def feedback_log(feedback: DataFrame, text: str = "request_text", ts: str = "cre
             "predicted_labels": F.col("predicted_labels"),
             "predicted_probabilities": F.col("predicted_probabilities"),
             "true_labels": F.col("true_labels"),
-            "is_prediction_correct": labels_equal(F.col("predicted_labels"), F.col("true_labels")),
+            "is_prediction_correct": labels_equal("predicted_labels", "true_labels"),
             "user_comments": _optional(feedback, "user_comments"),
         },
     )

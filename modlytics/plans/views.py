@@ -7,21 +7,14 @@ row, so they grow with the data.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modlytics.functions.labels import invert_labels, label_map
+from modlytics.functions.labels import invert_labels_sql, label_map_sql, labels_equal
 from modlytics.functions.text import preview
-from modlytics.operators.moderation import enqueue, moderate, predictions, probabilities
-from modlytics.operators.records import (
-    decision_log,
-    feedback_log,
-    prediction_log,
-    probability_log,
-    review_log,
-)
+from modlytics.functions.values import iso_utc
+from modlytics.operators.moderation import enqueue, moderate, probabilities
+from modlytics.operators.records import log_records
 from modlytics.schema import pred_cols, prob_cols
 from modlytics.session import use_utc
 
@@ -57,27 +50,22 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     derived = [
-        F.when((F.col("toxic") == 1) & (F.col("doc_id") % divisor == 0), 1).otherwise(0).alias(label)
+        f"CASE WHEN toxic = 1 AND doc_id % {divisor} = 0 THEN 1 ELSE 0 END AS {label}"
         for label, divisor in DERIVED_LABELS.items()
     ]
-    return documents.join(labels, "doc_id").select(
-        F.col("doc_id").alias("comment_id"), F.col("text").alias("comment_text"),
-        "lang", "source", "toxic", *derived,
+    return documents.join(labels, "doc_id").selectExpr(
+        "doc_id AS comment_id", "text AS comment_text", "lang", "source", "toxic", *derived
     )
 
 
-def _stand_in_score(key: str, factor: int, offset: int) -> Column:
-    spread = ((F.col(key) * factor + offset) % 10007) * (F.col(key) % 10)
-    return F.least(F.lit(10000), F.floor(spread / F.lit(9.0))) / F.lit(10000.0)
-
-
 def with_scores(df: DataFrame, key: str) -> DataFrame:
     """Adds stand-in probabilities with four places, and flags above one half."""
-    scores = {f"{label}_prob": _stand_in_score(key, *terms) for label, terms in SCORE_TERMS.items()}
-    scored = df.withColumns(scores)
-    return scored.withColumns(
-        {flag: F.col(name) > 0.5 for flag, name in zip(pred_cols(), prob_cols())}
-    )
+    scores = [
+        f"least(10000, floor((({key} * {factor} + {offset}) % 10007) * ({key} % 10) / 9D)) / 10000D AS {label}_prob"
+        for label, (factor, offset) in SCORE_TERMS.items()
+    ]
+    flags = [f"{score} > 0.5D AS {flag}" for flag, score in zip(pred_cols(), prob_cols())]
+    return df.selectExpr("*", *scores).selectExpr("*", *flags)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,18 +84,12 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One service call per event, on a document chosen by the event's number."""
     # Answered from the parquet footers; one number.
     n = table(spark, sf_dir, "documents").count()
-    endpoint = reduce(
-        lambda chain, pair: F.when(F.col("event_type") == pair[0], pair[1]).otherwise(chain),
-        ENDPOINTS.items(),
-        F.lit(REVIEW_ENDPOINT),
-    )
-    return table(spark, sf_dir, "events").select(
-        "event_id",
-        F.col("ts").cast("timestamp").alias("ts"),
-        endpoint.alias("endpoint"),
-        (F.col("value") / F.lit(1000.0)).alias("prediction_latency"),
-        "user_id", "props", "value",
-        (F.col("event_id") % n).alias("comment_id"),
+    kinds = " ".join(f"WHEN '{event}' THEN '{endpoint}'" for event, endpoint in ENDPOINTS.items())
+    return table(spark, sf_dir, "events").selectExpr(
+        "event_id", "timestamp(ts) AS ts", "user_id", "props", "value",
+        f"CASE event_type {kinds} ELSE '{REVIEW_ENDPOINT}' END AS endpoint",
+        "value / 1000D AS prediction_latency",
+        f"event_id % {n} AS comment_id",
     )
 
 
@@ -161,38 +143,56 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(second).unionByName(stray)
 
 
+def _feedback_fields() -> list[str]:
+    """The user confirms the flags, or every fourth time says they are wrong."""
+    flags = label_map_sql(pred_cols())
+    return [
+        f"{flags} AS predicted_labels",
+        f"{label_map_sql(prob_cols())} AS predicted_probabilities",
+        f"CASE WHEN event_id % 4 = 0 THEN {invert_labels_sql(flags)} ELSE {flags} END AS true_labels",
+        "CASE WHEN event_id % 4 = 0 THEN 'User indicated prediction is wrong - labels inverted' "
+        "ELSE 'User confirmed prediction is correct' END AS user_comments",
+    ]
+
+
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feedback calls: the user confirms the flags, or every fourth time says they are wrong."""
+    """Feedback calls."""
     given = scored_activity(spark, sf_dir).filter(F.col("endpoint") == "/feedback")
-    wrong = F.col("event_id") % 4 == 0
-    flags = label_map(pred_cols())
-    return given.select(
-        "event_id", "created_at", "comment_text",
-        flags.alias("predicted_labels"),
-        label_map(prob_cols()).alias("predicted_probabilities"),
-        F.when(wrong, invert_labels(flags)).otherwise(flags).alias("true_labels"),
-        F.when(wrong, "User indicated prediction is wrong - labels inverted")
-        .otherwise("User confirmed prediction is correct").alias("user_comments"),
-    )
+    return given.selectExpr("event_id", "created_at", "comment_text", *_feedback_fields())
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The service's log: all five record kinds in one schema."""
-    made = scored_activity(spark, sf_dir)
-    of = lambda endpoint: made.filter(F.col("endpoint") == endpoint)
-    strays = calls(spark, sf_dir).filter(F.col("endpoint") == REVIEW_ENDPOINT).select(
-        F.concat(F.lit("mod_unknown_"), F.col("event_id").cast("string")).alias("queue_id"),
-        F.lit("approve").alias("action"),
-        F.lit("stray").alias("moderator_notes"),
-        F.col("ts").alias("reviewed_at"),
-    )
-    return reduce(
-        DataFrame.unionByName,
-        [
-            prediction_log(predictions(of("/predict"))),
-            probability_log(probabilities(of("/predict_proba"))),
-            feedback_log(feedback(spark, sf_dir), "comment_text"),
-            decision_log(moderated(spark, sf_dir)),
-            review_log(strays),
-        ],
+    """The service's log: all five record kinds, told apart by which fields are filled."""
+    made = scored_activity(spark, sf_dir).withColumn("context", F.lit("forum"))
+    rows = (
+        probabilities(moderate(made, F.col("ts"), "event_id"))
+        .selectExpr("*", *_feedback_fields())
+        .withColumn("correct", labels_equal("predicted_labels", "true_labels"))
     )
+    predicted = "endpoint IN ('/predict', '/predict_proba')"
+    stray = f"endpoint = '{REVIEW_ENDPOINT}'"
+    at = lambda *names: "endpoint IN (" + ", ".join(f"'/{name}'" for name in names) + ")"
+    fields = {
+        "request_text": (f"NOT {stray}", "CASE WHEN length(comment_text) > 100 "
+                         "THEN concat(substring(comment_text, 1, 100), '...') ELSE comment_text END"),
+        "prediction_latency": (at("predict", "predict_proba", "moderate"), "prediction_latency"),
+        "is_toxic": (predicted, "is_toxic"),
+        "max_probability": (at("predict_proba"), "max_probability"),
+        "predictions": (at("predict"), label_map_sql(pred_cols())),
+        "probabilities": (at("predict_proba"), label_map_sql(prob_cols())),
+        "predicted_labels": (at("feedback"), "predicted_labels"),
+        "predicted_probabilities": (at("feedback"), "predicted_probabilities"),
+        "true_labels": (at("feedback"), "true_labels"),
+        "is_prediction_correct": (at("feedback"), "correct"),
+        "user_comments": (at("feedback"), "user_comments"),
+        "context": (at("moderate"), "context"),
+        "user_id": (at("moderate"), "user_id"),
+        "decision": (at("moderate"), "action"),
+        "confidence": (at("moderate"), "confidence"),
+        "queue_id": (f"{at('moderate')} OR {stray}",
+                     f"CASE WHEN {stray} THEN concat('mod_unknown_', event_id) ELSE queue_id END"),
+        "action": (stray, "'approve'"),
+        "moderator_notes": (stray, "'stray'"),
+    }
+    filled = {name: F.expr(f"CASE WHEN {when} THEN {value} END") for name, (when, value) in fields.items()}
+    return log_records(rows, {"timestamp": iso_utc(F.col("ts")), "endpoint": F.col("endpoint"), **filled})

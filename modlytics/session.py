@@ -21,6 +21,8 @@ def get_session(app: str = "modlytics", master: str | None = None, **conf: str)
     settings = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
+        # Call-site capture for every column call; it dominates building wide plans.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     }
