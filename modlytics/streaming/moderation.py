@@ -11,10 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modlytics.operators.moderation import enqueue, moderate
-from modlytics.operators.profile import validate_requests
 from modlytics.operators.queue import apply_reviews, is_expired, unknown_reviews
-from modlytics.operators.records import decision_log
+from modlytics.plans.moderation import moderate_table
 from modlytics.schema import QUEUE_SCHEMA, REVIEW_SCHEMA
 
 
@@ -28,19 +26,6 @@ def read_batches(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return reader.option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(path)
 
 
-def moderate_requests(
-    requests: DataFrame,
-    score: Callable[[DataFrame], DataFrame],
-    created_at: Column,
-    text: str = "comment_text",
-    content_key: str = "comment_id",
-) -> tuple[DataFrame, DataFrame]:
-    """(decisions of the valid requests, rejected requests with their reasons)."""
-    checked = validate_requests(requests, text)
-    valid = checked.filter("valid").drop("valid", "reasons")
-    return moderate(score(valid), created_at, content_key), checked.filter(~F.col("valid"))
-
-
 def stream_moderate(
     requests: DataFrame,
     score: Callable[[DataFrame], DataFrame],
@@ -50,19 +35,10 @@ def stream_moderate(
     text: str = "comment_text",
     content_key: str = "comment_id",
 ):
-    """Writer for decisions, queue rows, log rows and rejects under ``path``; start it to run.
-
-    Each batch is scored once: the other tables are read back from its written decisions.
-    """
+    """Writer for decisions, queue rows, log rows and rejects under ``path``; start it to run."""
 
     def write(batch_rows: DataFrame, batch: int) -> None:
-        spark = batch_rows.sparkSession
-        decisions, rejected = moderate_requests(batch_rows, score, created_at, text, content_key)
-        write_batch(decisions, f"{path}/decisions", batch)
-        written = spark.read.schema(decisions.schema).parquet(f"{path}/decisions/batch={batch}")
-        write_batch(enqueue(written, text), f"{path}/queue", batch)
-        write_batch(decision_log(written, text), f"{path}/log", batch)
-        write_batch(rejected, f"{path}/rejected", batch)
+        moderate_table(batch_rows, score, path, created_at, text, content_key, f"batch={batch}")
 
     return requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
