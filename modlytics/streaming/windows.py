@@ -133,7 +133,10 @@ def activity_sessions(df: DataFrame, gap_seconds: int = 86_400, ts: str = "ts")
 
 
 def late_rows(query) -> int:
-    """Rows a running or finished query dropped behind its watermark."""
+    """What a query dropped behind its watermark.
+
+    Spark counts after folding rows of one batch and window, so those count once.
+    """
     return sum(
         state.get("numRowsDroppedByWatermark", 0)
         for progress in query.recentProgress
