@@ -102,8 +102,13 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls with the text and scores of their document."""
-    joined = calls(spark, sf_dir).join(scored(spark, sf_dir), "comment_id")
+    """Calls with the text and scores of their document.
+
+    The logged start of the text is cut before the join, so that reports which need no
+    more than that do not move whole texts.
+    """
+    texts = scored(spark, sf_dir).withColumn("request_text", preview(F.col("comment_text")))
+    joined = calls(spark, sf_dir).join(texts, "comment_id")
     return joined.withColumn("created_at", F.col("ts"))
 
 
@@ -120,27 +125,27 @@ def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moderator decisions: a first and sometimes a second look at queue items, by the
     value of the call, and the /review calls, whose ids the queue does not know."""
-    queued = moderated(spark, sf_dir).filter(F.col("review_required"))
-    after = lambda hours: F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(hours))
-    first = queued.filter(F.col("value") >= 5).select(
-        "queue_id",
-        F.when(F.col("toxic_pred"), "reject").otherwise("approve").alias("action"),
-        F.lit("first look").alias("moderator_notes"),
-        after(1).alias("reviewed_at"),
+    made = scored_activity(spark, sf_dir).filter(
+        F.col("endpoint").isin("/moderate", REVIEW_ENDPOINT)
     )
-    second = queued.filter(F.col("value") >= 20).select(
-        "queue_id",
-        F.lit("warn").alias("action"),
-        F.lit(None).cast("string").alias("moderator_notes"),
-        after(2).alias("reviewed_at"),
+    decided = moderate(made, F.col("ts"), "event_id")
+    queued = "endpoint = '/moderate' AND review_required"
+    look = (
+        "CASE WHEN {when} THEN struct({queue_id} AS queue_id, {action} AS action, "
+        "{notes} AS moderator_notes, {at} AS reviewed_at) END"
     )
-    stray = calls(spark, sf_dir).filter(F.col("endpoint") == REVIEW_ENDPOINT).select(
-        F.concat(F.lit("mod_unknown_"), F.col("event_id").cast("string")).alias("queue_id"),
-        F.lit("approve").alias("action"),
-        F.lit("stray").alias("moderator_notes"),
-        F.col("ts").alias("reviewed_at"),
+    looks = [
+        look.format(when=f"{queued} AND value >= 5", queue_id="queue_id", notes="'first look'",
+                    action="CASE WHEN toxic_pred THEN 'reject' ELSE 'approve' END",
+                    at="ts + INTERVAL 1 HOUR"),
+        look.format(when=f"{queued} AND value >= 20", queue_id="queue_id", notes="CAST(NULL AS STRING)",
+                    action="'warn'", at="ts + INTERVAL 2 HOURS"),
+        look.format(when=f"endpoint = '{REVIEW_ENDPOINT}'", queue_id="concat('mod_unknown_', event_id)",
+                    notes="'stray'", action="'approve'", at="ts"),
+    ]
+    return decided.selectExpr(f"array_compact(array({', '.join(looks)})) AS looks").selectExpr(
+        "inline(looks)"
     )
-    return first.unionByName(second).unionByName(stray)
 
 
 def _feedback_fields() -> list[str]:
@@ -173,8 +178,7 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     stray = f"endpoint = '{REVIEW_ENDPOINT}'"
     at = lambda *names: "endpoint IN (" + ", ".join(f"'/{name}'" for name in names) + ")"
     fields = {
-        "request_text": (f"NOT {stray}", "CASE WHEN length(comment_text) > 100 "
-                         "THEN concat(substring(comment_text, 1, 100), '...') ELSE comment_text END"),
+        "request_text": (f"NOT {stray}", "request_text"),
         "prediction_latency": (at("predict", "predict_proba", "moderate"), "prediction_latency"),
         "is_toxic": (predicted, "is_toxic"),
         "max_probability": (at("predict_proba"), "max_probability"),
