@@ -112,11 +112,16 @@ def daily_toxicity(predictions: DataFrame, ts: str = "ts") -> DataFrame:
 
 
 def latency_series(predictions: DataFrame, ts: str = "ts") -> DataFrame:
-    """Latency points in time order."""
+    """Latency points in time order.
+
+    The row number as last sort key lets the sort split a moment that holds very many rows.
+    """
     return (
         predictions.select(F.col(ts).alias("datetime"), "prediction_latency")
         .dropna()
-        .orderBy("datetime")
+        .withColumn("_row", F.monotonically_increasing_id())
+        .orderBy("datetime", "prediction_latency", "_row")
+        .drop("_row")
     )
 
 

@@ -64,8 +64,14 @@ def read_log_items(
     return good.limit(max_items) if max_items else good
 
 
+def record_json(df: DataFrame) -> Column:
+    """A whole row as JSON; timestamps keep their microseconds."""
+    options = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    return F.to_json(F.struct(*df.columns), options)
+
+
 def content_hash(df: DataFrame) -> Column:
-    return F.md5(F.to_json(F.struct(*df.columns)))
+    return F.md5(record_json(df))
 
 
 def read_logs(primary: DataFrame, fallback: DataFrame) -> DataFrame:
@@ -101,7 +107,7 @@ def log_items(df: DataFrame, as_of: Column, level: str = "INFO", pathname: str =
             "log_date": day,
         }
     )
-    data = F.to_json(F.struct(*record.columns))
+    data = record_json(record)
     spread = F.substring(F.md5(data), 1, 8)
     return record.select(
         F.concat(day, F.lit("#"), spread).alias("partition_key"),

@@ -68,9 +68,10 @@ def stream_silence(
     """(shard, first_ts, last_ts, rows): activity sessions of a stream, per shard.
 
     One session over all rows would be one key and so one task.  Rows are spread over
-    shards, and ``merge_sessions`` joins the few shard sessions into overall ones.
+    shards, rows of one moment over the shards of the tasks that read them, and
+    ``merge_sessions`` joins the few shard sessions into overall ones.
     """
-    shard = F.pmod(F.xxhash64(F.col(ts)), F.lit(shards)).alias("shard")
+    shard = F.pmod(F.xxhash64(F.col(ts), F.spark_partition_id()), F.lit(shards)).alias("shard")
     return (
         df.select(ts, shard)
         .withWatermark(ts, watermark)

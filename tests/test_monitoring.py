@@ -82,6 +82,15 @@ def test_daily_and_latency(logs):
     assert [r.prediction_latency for r in monitor.latency_series(predictions).collect()] == [0.2, 0.4]
 
 
+def test_latency_order_with_many_rows_at_one_moment(spark):
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("2024-03-02")).otherwise(F.lit("2024-03-01")).cast("timestamp").alias("ts"),
+        (F.col("id") % 7 / 10).alias("prediction_latency"),
+    )
+    series = [(r.datetime, r.prediction_latency) for r in monitor.latency_series(df).collect()]
+    assert len(series) == 3000 and series == sorted(series)
+
+
 def test_daily_rate_ties_go_to_the_even_digit(spark):
     df = spark.range(16).select(
         F.lit("2024-03-01").cast("timestamp").alias("ts"), (F.col("id") == 0).alias("is_toxic")
