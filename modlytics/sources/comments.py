@@ -10,35 +10,48 @@ from modlytics.operators.profile import require_columns
 from modlytics.schema import COMMENT_SCHEMA
 
 
-def read_comments(
-    spark: SparkSession,
-    path: str,
-    format: str = "csv",
-    schema: T.StructType = COMMENT_SCHEMA,
-) -> DataFrame:
+def _csv(spark: SparkSession):
+    return (
+        spark.read.option("header", True)
+        .option("multiLine", True)
+        .option("quote", '"')
+        .option("escape", '"')
+    )
+
+
+def csv_schema(names: list[str]) -> T.StructType:
+    """Types for a CSV header: labels are whole numbers, everything else stays text."""
+    known = {field.name: field.dataType for field in COMMENT_SCHEMA}
+    return T.StructType([T.StructField(name, known.get(name, T.StringType())) for name in names])
+
+
+def read_comments(spark: SparkSession, path: str, format: str = "csv") -> DataFrame:
     """Comment table from CSV with a header, or from parquet.
 
+    The header may list the columns in any order and hold more of them.  ``comment_id``
+    is that column, else ``id``, else the row's number in the files as they lie.
+
     Quoted texts may span lines, so a CSV file is read by one task: deliver large data as
-    many files, or convert it to parquet once.  A CSV without a declared column fails, as
-    the header must name the columns of ``schema``.
+    many files, or convert it to parquet once.
     """
     if format == "csv":
-        return (
-            spark.read.schema(schema)
-            .option("header", True)
-            .option("multiLine", True)
-            .option("quote", '"')
-            .option("escape", '"')
+        header = _csv(spark).csv(path)
+        require_columns(header)
+        # The header is checked against the names in every file; a broken row is an error.
+        df = (
+            _csv(spark)
+            .schema(csv_schema(header.columns))
             .option("enforceSchema", False)
             .option("mode", "FAILFAST")
             .csv(path)
         )
-    return require_columns(spark.read.format(format).load(path))
-
-
-def csv_columns(spark: SparkSession, path: str) -> list[str]:
-    """Header of a CSV, for ``require_columns`` before reading with a schema."""
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).columns
+    else:
+        df = require_columns(spark.read.format(format).load(path))
+    if "comment_id" in df.columns:
+        return df
+    if "id" in df.columns:
+        return df.withColumnRenamed("id", "comment_id")
+    return df.withColumn("comment_id", F.monotonically_increasing_id().cast("string"))
 
 
 def join_labels(documents: DataFrame, labels: DataFrame, key: str = "comment_id") -> DataFrame:

@@ -22,21 +22,41 @@ def test_csv_round_trip_keeps_quotes_lines_and_nulls(spark, comments, folder):
     cs.write_comments(df, f"{folder}/csv")
     back = cs.read_comments(spark, f"{folder}/csv")
     assert {tuple(r) for r in back.collect()} == {tuple(r) for r in df.select(back.columns).collect()}
-    assert cs.csv_columns(spark, f"{folder}/csv") == ["comment_id", "comment_text", *LABELS]
+    assert back.columns == ["comment_id", "comment_text", *LABELS]
 
 
-def test_csv_with_a_missing_column_is_refused(spark, folder):
+def test_missing_label_columns_are_named(spark, folder):
     path = f"{folder}/short.csv"
     with open(path, "w") as f:
-        f.write("comment_id,comment_text,toxic\n1,test,1\n")
-    with pytest.raises(Exception):
-        cs.read_comments(spark, path).collect()
+        f.write("comment_text,toxic\ntest,1\n")
+    absent = ["severe_toxic", "obscene", "threat", "insult", "identity_hate"]
+    with pytest.raises(ValueError) as problem:
+        cs.read_comments(spark, path)
+    assert str(problem.value) == f"Missing target columns: {absent}"
     comments = spark.createDataFrame([("1", "test", 1)], "comment_id string, comment_text string, toxic int")
     comments.write.parquet(f"{folder}/p")
     with pytest.raises(ValueError, match="Missing target columns"):
         cs.read_comments(spark, f"{folder}/p", "parquet")
 
 
+def test_csv_columns_in_any_order_with_or_without_an_id(spark, folder):
+    names = ",".join(reversed(LABELS))
+    bare, named, wrong = f"{folder}/bare.csv", f"{folder}/named.csv", f"{folder}/wrong.csv"
+    with open(bare, "w") as f:
+        f.write(f"comment_text,{names}\nThis is a good comment,0,0,0,0,0,0\nI hate you so much,1,0,1,0,1,1\n")
+    with open(named, "w") as f:
+        f.write(f"id,{names},note,comment_text\nx9,1,0,0,0,0,1,odd,hello\n")
+    with open(wrong, "w") as f:
+        f.write(f"comment_text,{names}\nhello,1,0,0,0,0,many\n")
+    rows = {r.comment_text: r for r in cs.read_comments(spark, bare).collect()}
+    assert rows["I hate you so much"].toxic == 1 and rows["I hate you so much"].insult == 0
+    assert len({r.comment_id for r in rows.values()}) == 2
+    row = cs.read_comments(spark, named).first()
+    assert (row.comment_id, row.identity_hate, row.toxic, row.note) == ("x9", 1, 1, "odd")
+    with pytest.raises(Exception):
+        cs.read_comments(spark, wrong).collect()
+
+
 LINES = [
     {"timestamp": "2024-03-01 10:00:00,054", "pathname": "m.py", "endpoint": "/predict", "request_text": "a",
      "prediction_latency": 0.01, "is_toxic": True, "predictions": {"toxic": True}},
