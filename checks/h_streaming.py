@@ -11,7 +11,7 @@ from checks.registry import check, r6, shown
 from checks.sql import ACTIVITY, BASE, PREDICTIONS, SCORED, decided, iso, query
 from checks.sql import shown as shown_sql
 from checks.f_moderation import REVIEW_CTES
-from modlytics.functions.values import iso_utc
+from modlytics.functions.values import iso_utc, round_half_even
 from modlytics.operators.monitor import parse_predictions
 from modlytics.plans import views
 from modlytics.session import shared_folder
@@ -112,16 +112,18 @@ def h3(spark, sf):
     query(
         BASE + [PREDICTIONS],
         f"""SELECT {shown_sql('w')} AS window_start, {shown_sql("w + INTERVAL 1 HOUR")} AS window_end, endpoint, points,
-  round_even(mean, 6) AS mean_latency, top AS max_latency
+  round_even(mean, 11) AS mean_latency, top AS max_latency
 FROM (SELECT date_trunc('hour', ts) AS w, endpoint, count(*) AS points, avg(prediction_latency) AS mean, max(prediction_latency) AS top
   FROM predictions GROUP BY ALL) x""",
     ),
 )
 def h4(spark, sf):
+    # Means of few values with five decimals often lie halfway at the sixth place, so they
+    # are compared at eleven.
     windows = stream_latency(parse_predictions(views.logs(spark, sf)))
     return windows.withColumns(
         {"window_start": shown(F.col("window_start")), "window_end": shown(F.col("window_end")),
-         "mean_latency": r6("mean_latency")}
+         "mean_latency": round_half_even(F.col("mean_latency"), 11)}
     )
 
 
