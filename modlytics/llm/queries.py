@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from modlytics.llm.bpe import digests, read_ranks
 from modlytics.llm.common import table
 from modlytics.llm.repetition import repetition
 
@@ -24,3 +26,10 @@ def query(function: Query) -> Query:
 def op6_repetition(spark: SparkSession, folder: str) -> DataFrame:
     """Repetition counts and the verdict for every document."""
     return repetition(table(spark, folder, "documents"))
+
+
+@query
+def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of every document's token ids and of the bytes that they decode to."""
+    tokens = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return digests(table(spark, folder, "documents"), tokens, public_tokenizers.PATTERN)
