@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from modlytics.llm.bpe import digests, read_ranks
+from modlytics.llm import bpe, secrets
 from modlytics.llm.common import table
 from modlytics.llm.repetition import repetition
 
@@ -31,5 +31,11 @@ def op6_repetition(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of every document's token ids and of the bytes that they decode to."""
-    tokens = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return digests(table(spark, folder, "documents"), tokens, public_tokenizers.PATTERN)
+    tokens = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe.digests(table(spark, folder, "documents"), tokens, public_tokenizers.PATTERN)
+
+
+@query
+def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secret spans of every document, with the ownership of each key counted over all of them."""
+    return secrets.digests(secrets.find_secrets(table(spark, folder, "documents"), carry=["doc_id"]))
