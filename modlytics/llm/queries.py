@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from modlytics.llm import bpe, secrets
+from modlytics.llm import bagminhash, bpe, secrets
 from modlytics.llm.common import table
 from modlytics.llm.repetition import repetition
 
@@ -39,3 +39,10 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
 def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Secret spans of every document, with the ownership of each key counted over all of them."""
     return secrets.digests(secrets.find_secrets(table(spark, folder, "documents"), carry=["doc_id"]))
+
+
+@query
+def op10_bagminhash(spark: SparkSession, folder: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return bagminhash.classes(docs).select("doc_id", "class_id", "class_size", "first_of_class")
