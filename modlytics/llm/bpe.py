@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +22,11 @@ CHUNK = 32_768
 #: Characters that a chunk sees of the next one.
 OVERLAP = 512
 #: Pre-tokens whose ids a worker remembers, twice: the present generation and the one before.
-REMEMBERED = 150_000
+REMEMBERED = 250_000
+#: Stands for no rank, above all ranks.
+NONE = 1 << 60
+#: The encoders of this worker process, which outlive a task.
+ENCODERS: dict[int, Encoder] = {}
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -34,18 +39,25 @@ def read_ranks(path: str) -> list[bytes]:
     return [tokens.get(rank, b"") for rank in range(max(tokens, default=-1) + 1)]
 
 
-def merge_short(parts: list[bytes], ranks: dict[bytes, int]) -> list[int]:
-    """Merge the neighbours of lowest rank, leftmost first, until none has a rank."""
-    while len(parts) > 1:
-        best, at = None, 0
-        for i in range(len(parts) - 1):
-            rank = ranks.get(parts[i] + parts[i + 1])
-            if rank is not None and (best is None or rank < best):
-                best, at = rank, i
-        if best is None:
+def merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Merge the neighbours of lowest rank, leftmost first, until no two have a rank.
+
+    ``pairs`` holds the rank of each two neighbours, of which a merge changes two.
+    """
+    get = ranks.get
+    starts = list(range(len(piece) + 1))
+    pairs = [get(piece[i : i + 2], NONE) for i in range(len(piece) - 1)]
+    while pairs:
+        best = min(pairs)
+        if best == NONE:
             break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
-    return [ranks[part] for part in parts]
+        i = pairs.index(best)
+        del starts[i + 1], pairs[i]
+        if i < len(pairs):
+            pairs[i] = get(piece[starts[i] : starts[i + 2]], NONE)
+        if i:
+            pairs[i - 1] = get(piece[starts[i - 1] : starts[i + 1]], NONE)
+    return [ranks[piece[a:b]] for a, b in zip(starts, starts[1:], strict=False)]
 
 
 def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -89,7 +101,6 @@ class Encoder(dict):
     def __init__(self, tokens: list[bytes], pattern: str) -> None:
         super().__init__()
         self.ranks = {token: rank for rank, token in enumerate(tokens) if token}
-        self.single = [bytes([value]) for value in range(256)]
         self.pattern = regex.compile(pattern)
         self.older: dict[str, bytes] = {}
 
@@ -101,7 +112,7 @@ class Encoder(dict):
             if rank is not None:
                 ids = [rank]
             elif len(raw) <= 48:
-                ids = merge_short([self.single[value] for value in raw], self.ranks)
+                ids = merge_short(raw, self.ranks)
             else:
                 ids = merge_long(raw, self.ranks)
             found = np.array(ids, "<i4").tobytes()
@@ -119,6 +130,16 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, pieces))
 
 
+def encoder_of(shared: Broadcast) -> Encoder:
+    """The worker's encoder for a broadcast vocabulary."""
+    tokens, pattern = shared.value
+    name = hash((pattern, len(tokens), hash(tuple(tokens))))
+    if name not in ENCODERS:
+        ENCODERS.clear()
+        ENCODERS[name] = Encoder(tokens, pattern)
+    return ENCODERS[name]
+
+
 def cuts(encoder: Encoder, text: str, start: int, last: bool) -> list[int]:
     """Where pre-tokens begin in a chunk that starts at ``start``, and where its last sure one ends.
 
@@ -169,7 +190,7 @@ def encode(docs: DataFrame, tokens: list[bytes], pattern: str, key: str = "doc_i
     long = F.length("text") > CHUNK
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(*shared.value)
+        encoder = encoder_of(shared)
         for batch in batches:
             found = []
             for part in slices(batch.select([1])):
@@ -180,7 +201,7 @@ def encode(docs: DataFrame, tokens: list[bytes], pattern: str, key: str = "doc_i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["key", "ids"])
 
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(*shared.value)
+        encoder = encoder_of(shared)
         for batch in batches:
             found = []
             for part in slices(batch.select(["start", "chars", "text"]), 16):
@@ -192,7 +213,7 @@ def encode(docs: DataFrame, tokens: list[bytes], pattern: str, key: str = "doc_i
             )
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
-        encoder = Encoder(*shared.value)
+        encoder = encoder_of(shared)
         group = group.sort_values("start")
         starts = group["start"].tolist()
         ends = starts[1:]
