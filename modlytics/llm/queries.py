@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from modlytics.llm import bagminhash, bpe, secrets
-from modlytics.llm.common import table
+from modlytics.llm import bagminhash, bpe, langid, secrets, toxicity
+from modlytics.llm.common import remainder, table
 from modlytics.llm.repetition import repetition
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,3 +47,21 @@ def op10_bagminhash(spark: SparkSession, folder: str) -> DataFrame:
     """The near-duplicate class of every document."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return bagminhash.classes(docs).select("doc_id", "class_id", "class_size", "first_of_class")
+
+
+@query
+def op4_langid(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learnt from three quarters of them."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    model = langid.train(docs, ~held_out)
+    return langid.identify(docs.withColumn("held_out", held_out), model, ["doc_id", "held_out"])
+
+
+@query
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """The toxicity of every document, learnt from the labels of two thirds of them."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = remainder(F.col("doc_id"), 3) == 1
+    model = toxicity.train(docs, table(spark, folder, "labels"), ~held_out)
+    return toxicity.score_texts(docs.withColumn("held_out", held_out), model, ["doc_id", "held_out"])
