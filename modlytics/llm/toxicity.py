@@ -17,7 +17,7 @@ from modlytics.llm.common import slices, text_bytes
 WORDS = re.compile(r"[^\W\d_]+")
 #: Words that address someone, for the pattern voters; the first of several languages.
 ADDRESS = frozenset("you your u are du dich bist ihr tu te toi es vous eres usted".split())
-PATTERNS = ("hits twice", "two kinds", "hit near address", "shouted hit", "exclaimed", "nothing found", "long and nothing found")
+PATTERNS = ("two hit words", "three hit words", "hit near address", "shouted hit", "exclaimed", "nothing found", "long and nothing found")
 
 
 @dataclass(frozen=True)
@@ -30,7 +30,7 @@ class Settings:
 
     sample: int = 5000
     units: int = 400
-    stems: tuple[int, ...] = (4, 5, 6)
+    stems: tuple[int, ...] = (3, 4, 5, 6, 7, 8)
     lift: float = 20.0
     support: int = 6
     rounds: int = 30
@@ -38,11 +38,28 @@ class Settings:
     seed: int = 11
 
 
-def units_of(words: set[str], settings: Settings) -> set[str]:
-    """Words and their beginnings; a beginning ends in a star."""
+#: How many words in a thousand have a beginning at least, for each of its units.
+RATES = (4, 8, 14)
+
+
+def stem_units(words: Counter[str], n: int, wanted: frozenset[str] | None = None) -> Iterator[str]:
+    """The units of the beginnings of n letters that a text has: ``stem*4`` means four words in a thousand or more."""
+    stems: Counter[str] = Counter()
+    for word, count in words.items():
+        if len(word) > n and (wanted is None or word[:n] in wanted):
+            stems[word[:n]] += count
+    total = words.total()
+    for stem, count in stems.items():
+        for rate in RATES:
+            if 1000 * count >= rate * total:
+                yield f"{stem}*{rate}"
+
+
+def units_of(words: Counter[str], settings: Settings) -> set[str]:
+    """Words, and their beginnings by how frequent they are."""
     found = set(words)
     for n in settings.stems:
-        found |= {word[:n] + "*" for word in words if len(word) > n}
+        found.update(stem_units(words, n))
     return found
 
 
@@ -54,27 +71,28 @@ class Lexicon:
     settings: Settings
 
     def __post_init__(self) -> None:
-        self.whole = frozenset(unit for unit in self.units if not unit.endswith("*"))
-        self.begin = {n: frozenset(unit[:-1] for unit in self.units if unit.endswith("*") and len(unit) == n + 1) for n in self.settings.stems}
-
-    def hits(self, word: str) -> bool:
-        return word in self.whole or any(len(word) > n and word[:n] in begin for n, begin in self.begin.items())
+        self.whole = frozenset(unit for unit in self.units if "*" not in unit)
+        stems = {unit.split("*")[0] for unit in self.units if "*" in unit}
+        self.begin = {n: found for n in self.settings.stems if (found := frozenset(stem for stem in stems if len(stem) == n))}
 
     def features(self, text: str) -> tuple[list[int], list[int]]:
         """The units that a text has, and the votes of the pattern voters: 1, 0 (abstains) or -1."""
-        distinct = set(WORDS.findall(text.lower()))
-        found = {self.units[word] for word in self.whole & distinct}
+        distinct = Counter(WORDS.findall(text.lower()))
+        names = self.whole & distinct.keys()
         for n, begin in self.begin.items():
-            found |= {self.units[start + "*"] for start in begin & {word[:n] for word in distinct if len(word) > n}}
+            names |= {name for name in stem_units(distinct, n, begin) if name in self.units}
+        found = [self.units[name] for name in names]
         votes = [0] * len(PATTERNS)
         if not found:
             votes[5] = -1
             votes[6] = -1 if len(distinct) >= 50 else 0
             return [], votes
         words = WORDS.findall(text)
-        at = [place for place, word in enumerate(words) if self.hits(word.lower())]
-        votes[0] = int(len(at) > 1)
-        votes[1] = int(len({words[place].lower()[:4] for place in at}) > 1)
+        starts = tuple({name.split("*")[0] for name in names if "*" in name})
+        at = [place for place, word in enumerate(words) if (low := word.lower()) in names or low.startswith(starts)]
+        kinds = {words[place].lower() for place in at}
+        votes[0] = int(len(kinds) > 1)
+        votes[1] = int(len(kinds) > 2)
         votes[2] = int(any(word.lower() in ADDRESS for place in at for word in words[max(0, place - 4) : place + 3]))
         votes[3] = int(any(len(words[place]) > 2 and words[place].isupper() for place in at))
         votes[4] = int("!" in text)
@@ -111,7 +129,7 @@ def mine(sample: DataFrame, settings: Settings) -> Lexicon:
         for batch in batches:
             for part in slices(batch, 64):
                 for value, label in zip(part["text"], part["label"], strict=True):
-                    words = set(WORDS.findall(value.lower()))
+                    words = Counter(WORDS.findall(value.lower()))
                     (toxic if label else clean).update(units_of(words, settings))
                 if len(toxic) + len(clean) > 400_000:
                     yield flush()
@@ -126,8 +144,15 @@ def mine(sample: DataFrame, settings: Settings) -> Lexicon:
     lift = (F.col("toxic") / max(bad, 1)) / ((F.col("clean") + 0.5) / max(good, 1))
     support = min(settings.support, max(2, bad // 20))
     top = counts.filter(F.col("toxic") >= support).withColumn("lift", lift).filter(F.col("lift") >= settings.lift)
-    best = top.orderBy(F.desc("toxic"), F.desc("lift"), "unit").limit(settings.units).collect()
-    return Lexicon({row["unit"]: place for place, row in enumerate(best)}, settings)
+    best = top.orderBy(F.desc("toxic"), F.desc("lift"), "unit").limit(10 * settings.units).collect()
+    # Beginnings of one word have its counts; the longest of them says the same as all.
+    longest: dict[tuple, str] = {}
+    for row in best:
+        stem, _, rate = row["unit"].partition("*")
+        family = (row["toxic"], row["clean"], stem[: min(settings.stems)])
+        if family not in longest or len(stem) > len(longest[family].partition("*")[0]):
+            longest[family] = row["unit"]
+    return Lexicon({unit: place for place, unit in enumerate(list(longest.values())[: settings.units])}, settings)
 
 
 @dataclass
@@ -146,8 +171,8 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, settings: Settings) -> LabelModel:
-    """Fit the generative model by expectation maximisation, begun at the labels.
+def label_model(votes: np.ndarray, labels: np.ndarray, settings: Settings) -> np.ndarray:
+    """Posterior labels of a generative model, fitted by expectation maximisation, begun at the labels.
 
     A voter's accuracy is its distribution of votes under each label.  Voters are correlated when
     their votes still go together among texts of one label (expected label, weighted by the posterior).  A
@@ -177,7 +202,7 @@ def label_model(votes: np.ndarray, labels: np.ndarray, settings: Settings) -> La
         belief = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         if np.abs(belief - before).max() < 1e-4:
             break
-    return model
+    return belief
 
 
 @dataclass
@@ -238,7 +263,7 @@ def train(
     if not len(rows) or truth.min() == truth.max():
         constant = 0.0 if not len(rows) or truth.max() == 0 else 1.0
         return Model(Lexicon({}, settings), np.zeros(len(PATTERNS)), 10.0 * (2 * constant - 1))
-    belief = label_model(votes, truth, settings).posterior(votes)
+    belief = label_model(votes, truth, settings)
     weights, bias = logistic(votes.astype(float), belief, settings)
     return Model(lexicon, weights, bias)
 
