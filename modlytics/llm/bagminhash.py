@@ -31,7 +31,7 @@ class Settings:
     bands: int = 25
     rows: int = 5
     slack: float = 0.16
-    small: int = 48
+    small: int = 8
 
     @property
     def size(self) -> int:
@@ -189,14 +189,15 @@ def verified(pairs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFram
         return pa.array(estimated(*rows) >= least)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, last, held = Powers(), None, None
+        powers, last, held = Powers(), [None, None], [None, None]
         for batch in batches:
             same = []
             for part in slices(batch):
-                for b, left, right in zip(part["b"], part["left"], part["right"], strict=True):
-                    if b != last:
-                        last, held = b, bag(right, settings.words, powers)
-                    same.append(overlap(bag(left, settings.words, powers), held) >= settings.similarity)
+                for *ends, left, right in zip(part["a"], part["b"], part["left"], part["right"], strict=True):
+                    for side, value in enumerate((left, right)):
+                        if ends[side] != last[side]:  # rows of one end follow each other
+                            last[side], held[side] = ends[side], bag(value, settings.words, powers)
+                    same.append(overlap(*held) >= settings.similarity)
             yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
 
     def side(end: str, column: str, name: str) -> DataFrame:
@@ -216,34 +217,83 @@ def verified(pairs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFram
     )
 
 
-def blocks(crowd: DataFrame, settings: Settings, rows: int = 256) -> DataFrame:
-    """Pairs of different roots in crowded buckets (key, row, root, n), compared block against block.
-
-    A bucket is cut into blocks of some ``rows`` by hash.  A task holds two blocks and returns only pairs that
-    look alike, so no list of all pairs is made.
+class Bags:
+    """The bags of a block's texts, made when first needed, one by one or laid end to end."""
+
+    def __init__(self, texts: list[bytes], words: int, powers: Powers) -> None:
+        self.texts, self.words, self.powers = texts, words, powers
+        self.made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.flat: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None = None
+
+    def __getitem__(self, place: int) -> tuple[np.ndarray, np.ndarray]:
+        if place not in self.made:
+            self.made[place] = bag(self.texts[place], self.words, self.powers)
+        return self.made[place]
+
+    def overlaps(self, other: tuple[np.ndarray, np.ndarray], places: np.ndarray) -> np.ndarray:
+        """The similarity of another bag to those at some places."""
+        if len(places) < 64:
+            return np.array([overlap(self[place], other) for place in places])
+        if self.flat is None:
+            bags = [self[place] for place in range(len(self.texts))]
+            sizes = np.array([len(keys) for keys, _ in bags])
+            totals = np.array([counts.sum() for _, counts in bags])
+            self.flat = (np.concatenate([keys for keys, _ in bags]), np.concatenate([n for _, n in bags]), np.cumsum(sizes) - sizes, totals)
+        keys, counts, starts, totals = self.flat
+        at = np.minimum(np.searchsorted(other[0], keys), len(other[0]) - 1)
+        shared = np.where(other[0][at] == keys, np.minimum(other[1][at], counts), 0)
+        both = np.add.reduceat(shared, starts)[places]
+        return both / (totals[places] + other[1].sum() - both)
+
+
+def blocks(crowd: DataFrame, settings: Settings, rows: int = 512, size: int = 2 << 20) -> DataFrame:
+    """Links that join different roots in crowds (crowd, row, root, signature, raw), block against block.
+
+    A crowd is cut into blocks of about ``rows`` rows or ``size`` bytes by hash.  A task holds two
+    blocks, compares signatures, verifies the bags of those that look alike, and returns only links
+    that join what is not yet joined inside it: fewer than it has rows, never a list of pairs.
     """
-    size, least = settings.size, settings.similarity - settings.slack
+    width, least = settings.size, settings.similarity - settings.slack
 
     def compare(group):
-        first = group[group["block"] == group["low"]]
-        second = group[group["block"] == group["high"]]
-        left, right = (np.frombuffer(b"".join(part["signature"]), np.uint32).reshape(-1, size) for part in (first, second))
+        powers = Powers()
+        sides = [group[group["block"] == group[end]] for end in ("low", "high")]
+        same = len(group) > 0 and group["low"].iat[0] == group["high"].iat[0]
+        marks = [np.frombuffer(b"".join(side["signature"]), np.uint32).reshape(-1, width) for side in sides]
+        names = [side["row"].to_numpy() for side in sides]
+        bags = [Bags(side["raw"].tolist(), settings.words, powers) for side in sides]
+        joined: dict[int, int] = {}
+
+        def top(root: int) -> int:
+            while root in joined:
+                root = joined[root]
+            return root
+
+        roots = [side["root"].to_numpy().copy() for side in sides]
         found = []
-        for place in range(len(first)):
-            near = (left[place] == right).mean(axis=1) >= least
-            near &= second["root"].to_numpy() != first["root"].iat[place]
-            found += [(first["row"].iat[place], row) for row in second["row"].to_numpy()[near]]
-        return type(group)(found, columns=["b", "a"], dtype="int64")[["a", "b"]]
-
-    count = F.ceil(F.col("n") / rows).cast("int")
-    block = F.pmod(F.xxhash64("row"), count).cast("int")
-    others = F.explode(F.sequence(F.lit(0), F.col("count") - 1))
+        for place in range(len(names[0])):
+            mine = top(int(roots[0][place]))
+            near = estimated(marks[0][place], marks[1]) >= least
+            if same:
+                near[: place + 1] = False
+            places = np.array([at for at in np.flatnonzero(near) if top(int(roots[1][at])) != mine], np.int64)
+            if not len(places):
+                continue
+            alike = bags[1].overlaps(bags[0][place], places) >= settings.similarity
+            for at in places[alike]:
+                mine, other = top(mine), top(int(roots[1][at]))
+                if mine != other:
+                    joined[other] = mine
+                    found.append((int(names[0][place]), int(names[1][at])))
+        return type(group)(found, columns=["a", "b"], dtype="int64")
+
+    sizes = crowd.groupBy("crowd").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("raw")).alias("bytes"))
+    count = F.greatest(F.ceil(F.col("n") / rows), F.ceil(F.col("bytes") / size)).cast("int")
+    placed = crowd.join(sizes.select("crowd", count.alias("count")), "crowd").withColumn("block", F.pmod(F.xxhash64("row"), "count").cast("int"))
     return (
-        crowd.withColumn("count", count)
-        .withColumn("block", block)
-        .select("*", others.alias("other"))
-        .select("key", "row", "root", "signature", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-        .groupBy("key", "low", "high")
+        placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("count") - 1)))
+        .select("crowd", "row", "root", "signature", "raw", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+        .groupBy("crowd", "low", "high")
         .applyInPandas(compare, "a bigint, b bigint")
     )
 
@@ -255,60 +305,62 @@ def open_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
     return rooted.join(mixed.filter("least <> most").select("key", "n"), "key")
 
 
-def remaining(members: DataFrame, nodes: DataFrame, roots: DataFrame, settings: Settings) -> DataFrame:
-    """Every pair of different roots that a bucket still holds together.
+def remaining(members: DataFrame, nodes: DataFrame, roots: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """What is left of pairs with different roots in one bucket: pairs to verify, and verified links.
 
-    In small buckets, all of them.  In larger ones, those that share a second band too: the bucket
-    is cut by all other bands of its members.  What stays crowded even then is compared in blocks.
+    Small buckets give all their pairs.  Larger ones that have a row in common form a crowd, which is
+    searched as a whole, once, block against block.
     """
     still = stored(open_buckets(members, roots))
-
-    def within(buckets: DataFrame) -> DataFrame:
-        other = buckets.select("key", F.col("row").alias("b"), F.col("root").alias("b_root"))
-        return (
-            buckets.select("key", F.col("row").alias("a"), F.col("root").alias("a_root"))
-            .join(other, "key")
-            .filter("a > b and a_root <> b_root")
-            .select("a", "b")
-        )
-
     few, many = still.filter(F.col("n") <= settings.small), still.filter(F.col("n") > settings.small)
-    pairs = within(few)
-    if many.limit(1).count():
-        second = many.select("key", "row").join(nodes.select("row", F.explode("bands").alias("band")), "row").filter("key <> band")
-        cut = stored(open_buckets(second.select("row", F.xxhash64(F.least("key", "band"), F.greatest("key", "band")).alias("key")).distinct(), roots))
-        pairs = pairs.unionAll(within(cut.filter(F.col("n") <= settings.small)))
-        crowd = cut.filter(F.col("n") > settings.small)
-        pairs = pairs.unionAll(blocks(crowd.join(nodes.select("row", "signature"), "row"), settings))
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    other = few.select("key", F.col("row").alias("b"), F.col("root").alias("b_root"))
+    pairs = (
+        few.select("key", F.col("row").alias("a"), F.col("root").alias("a_root"))
+        .join(other, "key")
+        .filter("a > b and a_root <> b_root")
+        .select("a", "b")
+        .distinct()
+    )
+    heads = many.groupBy("key").agg(F.min("row").alias("b"))
+    crowds = components(many.join(heads, "key").select(F.col("row").alias("a"), "b"))
+    crowd = (
+        crowds.select(F.col("node").alias("row"), F.col("root").alias("crowd"))
+        .join(many.select("row", "root").distinct(), "row")
+        .join(nodes.select("row", "signature", "raw"), "row")
+    )
+    return pairs, blocks(crowd, settings)
 
 
 def linked(signed: DataFrame, text: str, settings: Settings) -> tuple[DataFrame, DataFrame]:
     """Texts (digest, node) and the roots of those nodes that have a link.
 
-    Copies of a text are one node.  First, each member of a band's bucket is paired with the
-    bucket's least row only, and the verified links are joined to components.  Then the buckets that
-    still hold different components are searched completely, so a link that the first pass did not
-    pair is found as well.  Buckets whose members are all in one component, as those of a large
-    group of near copies, cost nothing in the second pass.
+    Copies of a text are one node.  First, each member of a band's bucket is paired with one row
+    of it only, the one that meets most others in all its buckets, and the verified links are joined to
+    components.  Then the buckets that still hold different components are searched completely, so a
+    link that the first pass did not pair is found as well.  Buckets whose members are all in one
+    component cost nothing in the second pass.
     """
     texts = stored(signed.filter("bands is not null").groupBy("digest").agg(F.min("row").alias("node")))
     single = signed.select("row", "bands").join(texts.select(F.col("node").alias("row")), "row", "left_semi")
     bands = single.select("row", F.explode("bands").alias("key"))
-    counted = bands.groupBy("key").agg(F.min("row").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = stored(bands.join(counted.select("key", "b"), "key"))
-    involved = members.select("row").distinct()
+    counted = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = stored(bands.join(counted, "key"))
+    meets = members.groupBy("row").agg(F.sum("n").alias("meets"))
     nodes = stored(
-        signed.select("row", "signature", "bands", text_bytes(F.col(text)).alias("raw")).join(involved, "row", "left_semi")
+        signed.select("row", "signature", text_bytes(F.col(text)).alias("raw")).join(meets.select("row"), "row", "left_semi")
     )
-    stars = members.filter("row <> b").select(F.col("row").alias("a"), "b").distinct()
+    ranked = members.select("key", "row").join(meets, "row")
+    heads = ranked.groupBy("key").agg(F.max(F.struct("meets", "row")).alias("head")).select("key", F.col("head.row").alias("head"))
+    stars = (
+        members.select("key", "row").join(heads, "key").filter("row <> head")
+        .select(F.greatest("row", "head").alias("a"), F.least("row", "head").alias("b")).distinct()
+    )
     links = stored(verified(stars, nodes, settings))
     roots = components(links)
-    rest = remaining(members.select("key", "row"), nodes, roots, settings).join(stars, ["a", "b"], "left_anti")
-    more = stored(verified(rest, nodes, settings))
-    if more.limit(1).count():
-        roots = components(links.unionAll(more))
-    return texts, roots
+    pairs, more = remaining(members.select("key", "row"), nodes, roots, settings)
+    rest = verified(pairs.join(stars, ["a", "b"], "left_anti"), nodes, settings)
+    more = stored(rest.unionAll(more))
+    return texts, components(links.unionAll(more))
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings | None = None) -> DataFrame:
