@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modlytics.llm import bagminhash, bpe, langid, secrets, toxicity
+from modlytics.llm import bagminhash, bpe, chat, langid, secrets, toxicity
 from modlytics.llm.common import remainder, table
 from modlytics.llm.repetition import repetition
 
@@ -65,3 +65,16 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     held_out = remainder(F.col("doc_id"), 3) == 1
     model = toxicity.train(docs, table(spark, folder, "labels"), ~held_out)
     return toxicity.score_texts(docs.withColumn("held_out", held_out), model, ["doc_id", "held_out"])
+
+
+@query
+def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of every conversation, formatted and read back, and of one that holds control strings."""
+    spiked = spark.range(2).select(
+        F.lit(-7).cast("bigint").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(spiked)
+    return chat.digests(chat.format_chats(turns))
