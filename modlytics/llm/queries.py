@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modlytics.llm import bagminhash, bpe, chat, langid, secrets, toxicity
+from modlytics.llm import bagminhash, bpe, chat, langid, mixing, secrets, toxicity
 from modlytics.llm.common import remainder, table
 from modlytics.llm.repetition import repetition
 
@@ -78,3 +78,9 @@ def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
     )
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(spiked)
     return chat.digests(chat.format_chats(turns))
+
+
+@query
+def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """How many words the mix takes of every document."""
+    return mixing.mix_sizes(table(spark, folder, "documents"))
