@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modlytics.llm import bagminhash, bpe, chat, langid, mixing, secrets, toxicity
+from modlytics.llm import ann, bagminhash, bpe, chat, langid, mixing, secrets, toxicity
 from modlytics.llm.common import remainder, table
 from modlytics.llm.repetition import repetition
 
@@ -84,3 +84,9 @@ def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """How many words the mix takes of every document."""
     return mixing.mix_sizes(table(spark, folder, "documents"))
+
+
+@query
+def op1_ann(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest neighbours found for every twentieth vector."""
+    return ann.neighbours(table(spark, folder, "embeddings"), k=20, every=20)
