@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modlytics.llm.common import slices, text_bytes
+from modlytics.llm.common import slices, stored, text_bytes
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: Words that address someone, for the pattern voters; the first of several languages.
@@ -100,15 +100,19 @@ class Lexicon:
 
 
 def sampled(docs: DataFrame, labels: DataFrame, learn: Column, text: str, key: str, label: str, settings: Settings) -> DataFrame:
-    """Labelled texts to learn from: about ``sample`` of each label, drawn by a hash of key and text."""
-    rows = (
-        docs.filter(learn)
-        .join(labels.filter(F.col(label).isNotNull()).select(key, F.col(label).cast("int").alias("label")).distinct(), key)
-        .select("label", F.coalesce(F.col(text), F.lit("")).alias("text"), F.xxhash64(F.col(key), F.col(text)).alias("draw"))
-    )
+    """Labelled texts to learn from: about ``sample`` of each label, drawn by a hash of the key, in a table.
+
+    Keys are drawn before any text is read, and only theirs are joined: a table of at most three times ``sample``
+    rows, so it is broadcast and no text is shuffled but the sample's own.  Of repeated rows one counts.
+    """
+    known = labels.filter(F.col(label).isin(0, 1)).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).distinct()
+    rows = docs.filter(learn).select(F.col(key).alias("key")).distinct().join(known, "key")
     counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    chance = F.pmod(F.col("draw"), F.lit(1 << 30)) * F.col("n") < F.lit(settings.sample * (1 << 30))
-    return rows.join(counts, "label").filter(chance)
+    draw = F.xxhash64("key", F.lit(settings.seed))
+    chance = F.pmod(draw, F.lit(1 << 30)) * F.col("n") < F.lit(settings.sample * (1 << 30))
+    drawn = stored(rows.join(counts, "label").filter(chance).select("key", "label", draw.alias("draw")).limit(3 * settings.sample))
+    texts = docs.filter(learn).select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return stored(texts.join(F.broadcast(drawn), "key").groupBy("key", "label", "draw").agg(F.min("text").alias("text")))
 
 
 def mine(sample: DataFrame, settings: Settings) -> Lexicon:
