@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modlytics.llm import ann, bagminhash, bpe, chat, langid, mixing, secrets, toxicity
+from modlytics.llm import ann, bagminhash, bpe, chat, langid, lm, mixing, secrets, toxicity
 from modlytics.llm.common import remainder, table
 from modlytics.llm.repetition import repetition
 
@@ -90,3 +90,11 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
 def op1_ann(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 nearest neighbours found for every twentieth vector."""
     return ann.neighbours(table(spark, folder, "embeddings"), k=20, every=20)
+
+
+@query
+def op3_lm(spark: SparkSession, folder: str) -> DataFrame:
+    """The log probability of every document, learnt from six sevenths of them."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = remainder(F.col("doc_id"), 7) == 2
+    return lm.score_texts(docs.withColumn("held_out", held_out), ~held_out, ["doc_id", "held_out"])
