@@ -396,3 +396,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", settings:
         F.coalesce("class_size", F.lit(1).cast("bigint")).alias("class_size"),
         F.coalesce("first_of_class", F.lit(True)).alias("first_of_class"),
     )
+
+
+def first_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings | None = None) -> DataFrame:
+    """The rows of ``docs`` that classes() marks as the first of their class, with their own columns."""
+    return classes(docs, key, text, settings).filter("first_of_class").select(*docs.columns)
