@@ -207,7 +207,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFram
         pairs.join(side("a", "signature", "left"), "a")
         .join(side("b", "signature", "right"), "b")
         .filter(alike("left", "right"))
-        .select("a", "b")
+        .select("a", "b"),
+        "none",
     )
     return (
         close.join(side("a", "raw", "left"), "a")
@@ -311,7 +312,7 @@ def remaining(members: DataFrame, nodes: DataFrame, roots: DataFrame, settings:
     Small buckets give all their pairs.  Larger ones that have a row in common form a crowd, which is
     searched as a whole, once, block against block.
     """
-    still = stored(open_buckets(members, roots))
+    still = stored(open_buckets(members, roots), "none")
     few, many = still.filter(F.col("n") <= settings.small), still.filter(F.col("n") > settings.small)
     other = few.select("key", F.col("row").alias("b"), F.col("root").alias("b_root"))
     pairs = (
@@ -340,14 +341,14 @@ def linked(signed: DataFrame, text: str, settings: Settings) -> tuple[DataFrame,
     link that the first pass did not pair is found as well.  Buckets whose members are all in one
     component cost nothing in the second pass.
     """
-    texts = stored(signed.filter("bands is not null").groupBy("digest").agg(F.min("row").alias("node")))
+    texts = stored(signed.filter("bands is not null").groupBy("digest").agg(F.min("row").alias("node")), "none")
     single = signed.select("row", "bands").join(texts.select(F.col("node").alias("row")), "row", "left_semi")
     bands = single.select("row", F.explode("bands").alias("key"))
     counted = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = stored(bands.join(counted, "key"))
+    members = stored(bands.join(counted, "key"), "none")
     meets = members.groupBy("row").agg(F.sum("n").alias("meets"))
     nodes = stored(
-        signed.select("row", "signature", text_bytes(F.col(text)).alias("raw")).join(meets.select("row"), "row", "left_semi")
+        signed.select("row", "signature", text_bytes(F.col(text)).alias("raw")).hint("merge").join(meets.select("row"), "row", "left_semi")
     )
     ranked = members.select("key", "row").join(meets, "row")
     heads = ranked.groupBy("key").agg(F.max(F.struct("meets", "row")).alias("head")).select("key", F.col("head.row").alias("head"))
@@ -355,11 +356,11 @@ def linked(signed: DataFrame, text: str, settings: Settings) -> tuple[DataFrame,
         members.select("key", "row").join(heads, "key").filter("row <> head")
         .select(F.greatest("row", "head").alias("a"), F.least("row", "head").alias("b")).distinct()
     )
-    links = stored(verified(stars, nodes, settings))
+    links = stored(verified(stars, nodes, settings), "none")
     roots = components(links)
     pairs, more = remaining(members.select("key", "row"), nodes, roots, settings)
     rest = verified(pairs.join(stars, ["a", "b"], "left_anti"), nodes, settings)
-    more = stored(rest.unionAll(more))
+    more = stored(rest.unionAll(more), "none")
     return texts, components(links.unionAll(more))
 
 

@@ -29,17 +29,18 @@ def text_bytes(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write a frame into the shared folder and read it back, which cuts its lineage.
 
-    The table lies where every executor reaches it, so a lost executor costs no recomputation.
+    The table lies where every executor reaches it, so a lost executor costs no recomputation.  Tables of
+    numbers that many short jobs write are better left uncompressed: codecs hold buffers outside the heap.
     """
     spark = df.sparkSession
     folder = shared_folder(spark)
     if folder is None:
         raise RuntimeError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

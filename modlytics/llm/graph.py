@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modlytics.llm.common import stored
+from modlytics.llm import common
+
+
+def stored(df: DataFrame) -> DataFrame:
+    return common.stored(df, "none")
 
 
 def components(links: DataFrame) -> DataFrame:
