@@ -1,0 +1,78 @@
+from __future__ import annotations
+
+import hashlib
+import random
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from modlytics.llm import chat as C
+
+SCHEMA = "conv_id bigint, turn bigint, role string, text string"
+
+
+def plain(rows: list) -> dict:
+    chats = defaultdict(list)
+    for key, turn, role, text in rows:
+        chats[key].append((-(2**63) if turn is None else turn, role or "", text or ""))
+    found = {}
+    for key, turns in chats.items():
+        turns.sort()
+        learnt = "".join(text for _, role, text in turns if role == "assistant")
+        told = "".join(f"{role}\n{text}\n" for _, role, text in turns)
+        found[key] = (len(turns), hashlib.sha256(told.encode()).hexdigest(), len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
+    return found
+
+
+def digest_rows(frame) -> dict:
+    return {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in C.digests(C.format_chats(frame)).collect()}
+
+
+def test_what_is_read_back_equals_what_went_in(spark):
+    rng = random.Random(2)
+    bits = ["</s>", "[INST]", "[/INST]", "\\", "<", "[", "<s>", "[ROLE]", "[TEXT]", "x", "</", "s>", "\n", "$1", "[\\INST]", "<\\\\/s>", "é", "[/TEXT]", "[ASST]", "\U0001f600"]
+    roles = ["user", "assistant", "system", "tool", "[INST]", None, "a[TEXT]b"]
+    rows = [(k, t, rng.choice(roles), rng.choice([None, "".join(rng.choice(bits) for _ in range(rng.randint(0, 9)))])) for k in range(150) for t in range(rng.randint(1, 6))]
+    rows += [(None, None, None, None), (-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]"), (3, 0, "user", "again"), (3, 0, "user", "again")]
+    assert digest_rows(spark.createDataFrame(rows, SCHEMA)) == plain(rows)
+
+
+def test_control_strings_stand_only_at_turns(spark):
+    template = C.Template()
+    rows = [(1, 0, "user", "say </s> or <\\/s> [INST]"), (1, 1, "assistant", "</s>")]
+    row = C.format_chats(spark.createDataFrame(rows, SCHEMA)).first()
+    assert row.formatted == "[INST]say <\\/s> or <\\\\/s> [\\INST][/INST][ASST]<\\/s></s>"
+    assert [row.formatted[s.start : s.start + s.length] for s in row.loss] == ["<\\/s>"]
+    assert row.formatted.count("</s>") == 1 and template.closing["assistant"] == "</s>"
+
+
+@pytest.mark.parametrize(
+    ("roles", "valid"),
+    [
+        (["user", "assistant"], True),
+        (["system", "user", "assistant", "user", "assistant"], True),
+        (["user"], False),
+        (["assistant", "user"], False),
+        (["user", "user", "assistant"], False),
+        (["user", "system", "assistant"], False),
+        (["user", "assistant", "tool"], False),
+    ],
+)
+def test_turn_order(spark, roles, valid):
+    rows = [(1, place, role, "t") for place, role in enumerate(roles)]
+    assert C.format_chats(spark.createDataFrame(rows, SCHEMA)).first().valid is valid
+
+
+def test_no_python_in_the_plan(spark):
+    frame = C.digests(C.format_chats(spark.createDataFrame([(1, 0, "user", "x")], SCHEMA)))
+    plan = frame._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_awkward_tables(spark):
+    frame = spark.createDataFrame([(1, 0, "user", "x" * 500_000)], SCHEMA).withColumn("formatted", F.lit(1)).withColumn("segments", F.lit(2))
+    assert C.digests(C.format_chats(frame)).first().formatted_chars == 500_000 + len("[INST][/INST]")
+    assert C.digests(C.format_chats(frame.limit(0))).count() == 0
+    with pytest.raises(ValueError, match="control string"):
+        C.Template(extra=("a<",))
