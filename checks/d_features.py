@@ -34,8 +34,9 @@ def d2(spark, sf):
 
 
 def _words(spark, sf):
-    return views.comments(spark, sf).select(
-        "comment_id", tokenize(clean_text(F.col("comment_text"))).alias("tokens")
+    """All documents; these steps need no label."""
+    return views.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("comment_id"), tokenize(clean_text(F.col("text"))).alias("tokens")
     )
 
 
@@ -43,13 +44,13 @@ def _joined(column, name):
     return F.array_join(column, "|").alias(name)
 
 
-WORDS = f"words AS (SELECT comment_id, list_filter(string_split({clean('comment_text')}, ' '), lambda w: length(w) >= 2) AS tokens FROM comments)"
+WORDS = f"words AS (SELECT doc_id AS comment_id, list_filter(string_split({clean('text')}, ' '), lambda w: length(w) >= 2) AS tokens FROM documents)"
 KEPT = f"kept AS (SELECT comment_id, list_filter(tokens, lambda w: NOT list_contains({STOP_LIST}, w)) AS tokens FROM words)"
 
 
 @check(
     "d3_tokenize",
-    query([COMMENTS, WORDS], "SELECT comment_id, len(tokens) AS n, array_to_string(tokens, '|') AS tokens FROM words"),
+    query([WORDS], "SELECT comment_id, len(tokens) AS n, array_to_string(tokens, '|') AS tokens FROM words"),
 )
 def d3(spark, sf):
     return _words(spark, sf).select(
@@ -60,7 +61,7 @@ def d3(spark, sf):
 @check(
     "d4_remove_stop_words",
     query(
-        [COMMENTS, WORDS, KEPT],
+        [WORDS, KEPT],
         "SELECT comment_id, len(tokens) AS n, array_to_string(tokens, '|') AS tokens FROM kept",
     ),
 )
@@ -72,14 +73,16 @@ def d4(spark, sf):
 @check(
     "d5_ngrams",
     query(
-        [COMMENTS, WORDS, KEPT],
+        [WORDS, KEPT],
         """SELECT comment_id, len(grams) AS n, array_to_string(grams, '|') AS grams FROM (
   SELECT comment_id, list_concat(tokens, list_transform(range(1, len(tokens)), lambda i: tokens[i] || ' ' || tokens[i + 1])) AS grams
   FROM kept) x""",
     ),
 )
 def d5(spark, sf):
-    tokens = features.document_tokens(views.comments(spark, sf))
+    tokens = features.document_tokens(views.table(spark, sf, "documents"), "doc_id", "text").select(
+        F.col("doc_id").alias("comment_id"), "tokens"
+    )
     grams = tokens.select("comment_id", ngrams(F.col("tokens"), 1, 2).alias("grams"))
     return grams.select("comment_id", F.size("grams").cast("bigint").alias("n"), _joined("grams", "grams"))
 

@@ -194,8 +194,7 @@ def g11(spark, sf):
     return box.withColumns({name: r6(name) for name in ("q1", "median", "q3")})
 
 
-DRIFT = """drift AS (SELECT 'Training Data' AS source, length FROM (SELECT length(comment_text) AS length FROM comments
-  ORDER BY md5('42:' || comment_id), comment_id LIMIT 1000)
+DRIFT = """drift AS (SELECT 'Training Data' AS source, length FROM (SELECT length(comment_text) AS length FROM comments)
   UNION ALL SELECT 'Inference', text_length FROM predictions)"""
 DRIFT_CTES = BASE + [COMMENTS, PREDICTIONS, DRIFT]
 

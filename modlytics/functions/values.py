@@ -21,21 +21,27 @@ def round_half_even_sql(value: str, places: int) -> str:
 
 
 def parse_ts(text: Column) -> Column:
-    """Text to a UTC timestamp, row by row; null where no known format fits."""
+    """Text to a timestamp, row by row; text without a zone is UTC, null where no known format fits."""
+    zoned = text.rlike(r"(Z|[+-]\d{2}:?\d{2})$") | ~F.contains(text, F.lit(":"))
     return F.coalesce(
-        F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss,SSS")),
-        F.try_to_timestamp(text),
+        F.try_to_timestamp(F.concat(text, F.lit("Z")), F.lit("yyyy-MM-dd HH:mm:ss,SSSX")),
+        F.try_to_timestamp(F.when(zoned, text).otherwise(F.concat(text, F.lit("Z")))),
     )
 
 
+def in_utc(ts: Column) -> Column:
+    """The timestamp whose figures in the session's zone are those of ``ts`` in UTC."""
+    return F.to_utc_timestamp(ts, F.current_timezone())
+
+
 def iso_utc(ts: Column) -> Column:
     """Timestamp as the ISO text log records carry."""
-    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
+    return F.concat(F.date_format(in_utc(ts), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
 
 
 def event_date(ts: Column) -> Column:
-    """Calendar day; UTC because the session is."""
-    return F.to_date(ts)
+    """Calendar day in UTC."""
+    return F.to_date(in_utc(ts))
 
 
 def percent(share: Column) -> Column:

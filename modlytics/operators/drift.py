@@ -85,16 +85,17 @@ def confidence_box(predictions: DataFrame, places: int = 4) -> DataFrame:
 def length_drift(
     training: DataFrame,
     predictions: DataFrame,
-    n: int | None = 1000,
+    n: int | None = None,
     seed: int = 42,
     key: str = "comment_id",
     text: str = "comment_text",
     clip: int | None = None,
 ) -> DataFrame:
-    """(source, length): a sample of training lengths and every inference length.
+    """(source, length): every training length and every inference length.
 
-    Logged texts are cut at 100 characters; ``clip=100`` gives the training texts the
-    same cut.  ``n=None`` takes all training rows.
+    Lengths are counted before anything is made of them, so all rows cost little; ``n`` samples the
+    training rows.  Logged texts are cut at 100 characters; ``clip=100`` gives the training
+    texts the same cut.
     """
     known = training.filter(F.col(text).isNotNull())
     chosen = sample_rows(known, n, seed, key) if n else known
@@ -117,18 +118,19 @@ def _moments(counts: DataFrame, *more: Column) -> DataFrame:
     quartile = lambda share: F.percentile("length", F.lit(share), F.col("rows"))
     sums = counts.groupBy("source").agg(
         F.sum("rows").alias("n"),
-        F.sum(length * rows).alias("_x"),
-        F.sum(length * length * rows).alias("_xx"),
+        (F.sum(length * rows) / F.sum("rows")).alias("mean"),
         quartile(0.25).alias("q1"),
         quartile(0.5).alias("median"),
         quartile(0.75).alias("q3"),
         *more,
     )
-    spread = F.col("_xx") - F.col("_x") * F.col("_x") / F.col("n")
+    # Squares are taken from the mean; sums of squares would cancel where lengths hardly differ.
+    centred = counts.join(F.broadcast(sums.select("source", "mean")), "source")
+    squares = centred.groupBy("source").agg(F.sum((length - F.col("mean")) * (length - F.col("mean")) * rows).alias("_off"))
     return (
-        sums.withColumn("mean", F.col("_x") / F.col("n"))
-        .withColumn("sd", F.sqrt(F.greatest(F.try_divide(spread, F.col("n") - 1), F.lit(0.0))))
-        .drop("_x", "_xx")
+        sums.join(F.broadcast(squares), "source", "left")
+        .withColumn("sd", F.sqrt(F.greatest(F.try_divide("_off", F.col("n") - 1), F.lit(0.0))))
+        .drop("_off")
     )
 
 

@@ -81,15 +81,21 @@ def dataset_profile(df: DataFrame) -> DataFrame:
 def validation_report(
     features: DataFrame, labels: DataFrame, key: str = "comment_id", label_columns=LABELS
 ) -> DataFrame:
-    """One row: sizes of both sides and the keys only one side has."""
+    """One row: sizes of both sides and the rows without a partner on the other.
+
+    Each side is counted per key first, so a repeated key is one row of the join; of its rows,
+    those have no partner that the other side has fewer of.  A null key has none.
+    """
     present = [name for name in label_columns if name in labels.columns]
-    left = features.select(key, F.lit(True).alias("in_features"))
-    right = labels.select(key, F.lit(True).alias("in_labels"))
+    left = features.groupBy(key).agg(F.count(F.lit(1)).alias("l"))
+    right = labels.groupBy(key).agg(F.count(F.lit(1)).alias("r"))
+    here, there = F.coalesce("l", F.lit(0).cast("bigint")), F.coalesce("r", F.lit(0).cast("bigint"))
+    total = lambda value: F.coalesce(F.sum(value), F.lit(0).cast("bigint"))
     return left.join(right, key, "full").agg(
-        F.count("in_features").alias("feature_rows"),
-        F.count("in_labels").alias("label_rows"),
-        F.count_if(F.col("in_labels").isNull()).alias("features_without_labels"),
-        F.count_if(F.col("in_features").isNull()).alias("labels_without_features"),
+        total(here).alias("feature_rows"),
+        total(there).alias("label_rows"),
+        total(F.greatest(here - there, F.lit(0))).alias("features_without_labels"),
+        total(F.greatest(there - here, F.lit(0))).alias("labels_without_features"),
     ).withColumn("label_columns", F.lit(len(present)))
 
 
@@ -102,6 +108,9 @@ def validate_training(
     report = validation_report(features, labels, key).first()
     if report.feature_rows == 0 or report.label_rows == 0:
         raise ValueError("Input features and labels cannot be empty")
+    nameless = features.filter(F.col(key).isNull()).limit(1).count() + labels.filter(F.col(key).isNull()).limit(1).count()
+    if nameless:
+        raise ValueError(f"Features and labels must have a {key}, some have none")
     if report.features_without_labels or report.labels_without_features:
         raise ValueError(
             "Features and labels must have same length: "

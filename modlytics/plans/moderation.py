@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modlytics.operators.moderation import enqueue, moderate
@@ -25,24 +25,43 @@ def moderate_requests(
     return moderate(score(valid), created_at, content_key), checked.filter(~F.col("valid"))
 
 
+def written_part(spark: SparkSession, path: str, table: str, part: str) -> DataFrame | None:
+    """A part of a table, or None where it was never finished."""
+    folder = f"{path}/{table}/{part}"
+    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    files = location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return spark.read.parquet(folder) if files.exists(location) else None
+
+
 def moderate_table(
     requests: DataFrame,
     score: Callable[[DataFrame], DataFrame],
     path: str,
     created_at: Column,
+    part: str,
     text: str = "comment_text",
     content_key: str = "comment_id",
-    part: str = "batch=0",
 ) -> None:
     """Write decisions, queue rows, log rows and rejects to ``<path>/<table>/<part>``.
 
+    A part names one set of requests for good, such as a day or a stream's batch.  If it was
+    written before, its decisions stand: times and queue ids stay as reviewers know them, whatever
+    ``created_at`` says now, and the other tables are written from them again.  A part
+    that holds other requests is not touched; that is an error.
     Requests are scored once: the queue and the log are read off the written decisions.
-    Each table's part is replaced as a whole, so a rerun leaves no doubles.
     """
-    decisions, rejected = moderate_requests(requests, score, created_at, text, content_key)
+    spark = requests.sparkSession
     save = lambda df, table: df.write.mode("overwrite").parquet(f"{path}/{table}/{part}")
-    save(decisions, "decisions")
-    written = requests.sparkSession.read.schema(decisions.schema).parquet(f"{path}/decisions/{part}")
+    decisions, rejected = moderate_requests(requests, score, created_at, text, content_key)
+    before = written_part(spark, path, "decisions", part)
+    if before is None:
+        save(decisions, "decisions")
+    else:
+        keys = decisions.select(content_key)
+        foreign = before.select(content_key).exceptAll(keys).union(keys.exceptAll(before.select(content_key)))
+        if foreign.limit(1).count():
+            raise ValueError(f"{path}/decisions/{part} holds the decisions of other requests")
+    written = spark.read.schema(decisions.schema).parquet(f"{path}/decisions/{part}")
     save(enqueue(written, text), "queue")
     save(decision_log(written, text), "log")
     save(rejected, "rejected")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,15 +41,18 @@ def read_log_lines(
 ) -> tuple[DataFrame, DataFrame]:
     """(records, broken lines) of a JSON-lines log.
 
-    ``strict`` fails the job on the first broken line; ``tolerant`` sets it aside.
+    ``strict`` fails the job on the first broken line, a blank one included, whatever columns the job
+    needs; ``tolerant`` sets it aside.
     """
     if mode not in ("tolerant", "strict"):
         raise ValueError(f"Unknown mode: {mode}")
-    lines = spark.read.text(path)
-    good, bad = split_log_lines(parse_log_lines(lines))
+    parsed = parse_log_lines(spark.read.text(path))
+    good, bad = split_log_lines(parsed)
     if mode == "strict":
-        record = F.from_json("value", LOG_SCHEMA, {"mode": "FAILFAST"})
-        return lines.select(record.alias("r")).select("r.*"), bad
+        # In a filter, so that a job which needs no column still looks at every line.
+        broken = F.concat(F.lit("Broken log line: "), F.substring(CORRUPT, 1, 200))
+        checked = F.when(F.col(CORRUPT).isNull(), True).otherwise(F.raise_error(broken).cast("boolean"))
+        return parsed.filter(checked).drop(CORRUPT), bad
     return good, bad
 
 
@@ -64,31 +69,53 @@ def read_log_items(
     return good.limit(max_items) if max_items else good
 
 
-def record_json(df: DataFrame) -> Column:
-    """A whole row as JSON; timestamps keep their microseconds."""
+def record_json(columns: Iterable[Column | str]) -> Column:
+    """A row of some columns as JSON; timestamps keep their microseconds."""
     options = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
-    return F.to_json(F.struct(*df.columns), options)
+    return F.to_json(F.struct(*columns), options)
 
 
 def content_hash(df: DataFrame) -> Column:
-    return F.md5(record_json(df))
+    """A hash of what a row says: neither the order of its columns, nor of its maps' keys, nor a null counts."""
+    in_order = lambda field: (
+        F.map_from_entries(F.array_sort(F.map_entries(field.name)))
+        if isinstance(field.dataType, T.MapType)
+        else F.col(field.name)
+    )
+    fields = sorted(df.schema.fields, key=lambda field: field.name)
+    return F.md5(record_json(in_order(field).alias(field.name) for field in fields))
+
+
+def united_part(store: DataFrame, united: DataFrame) -> DataFrame:
+    """A store with all columns of the union, in its order and types."""
+    own = set(store.columns)
+    return store.select(
+        *(
+            (F.col(field.name) if field.name in own else F.lit(None)).cast(field.dataType).alias(field.name)
+            for field in united.schema.fields
+        )
+    )
 
 
 def read_logs(primary: DataFrame, fallback: DataFrame) -> DataFrame:
     """Both stores as one log, each record once, with the store it came from.
 
-    A record in both counts as primary.  Copies are folded before the shuffle, so a
-    record repeated very often does not load one task.
+    A record in both counts as primary.  The stores may order their columns differently, and
+    one may lack some.  Copies are folded before the shuffle, so a record repeated very often
+    does not load one task.
     """
-    tagged = lambda df, rank: df.withColumn("_hash", content_hash(df)).withColumn(
-        "_rank", F.lit(rank)
-    )
-    both = tagged(primary, 0).unionByName(tagged(fallback, 1), allowMissingColumns=True)
-    columns = [name for name in both.columns if not name.startswith("_")]
-    folded = both.groupBy("timestamp", "endpoint", "_hash").agg(
-        F.min("_rank").alias("_rank"), F.first(F.struct(*columns)).alias("r")
+    united = primary.unionByName(fallback, allowMissingColumns=True)
+    stores = []
+    for rank, store in enumerate((primary, fallback)):
+        whole = united_part(store, united)
+        stores.append(
+            whole.select(F.struct(*whole.columns).alias("r"), content_hash(whole).alias("hash"), F.lit(rank).alias("rank"))
+        )
+    both = stores[0].unionByName(stores[1])
+    folded = both.groupBy(F.col("r.timestamp").alias("t"), F.col("r.endpoint").alias("e"), "hash").agg(
+        F.min("rank").alias("rank"), F.first("r").alias("r")
     )
-    source = F.when(F.col("_rank") == 0, "primary").otherwise("fallback")
+    source = F.when(F.col("rank") == 0, "primary").otherwise("fallback")
     return folded.select("r.*", source.alias("log_source"))
 
 
@@ -107,7 +134,7 @@ def log_items(df: DataFrame, as_of: Column, level: str = "INFO", pathname: str =
             "log_date": day,
         }
     )
-    data = record_json(record)
+    data = record_json(record.columns)
     spread = F.substring(F.md5(data), 1, 8)
     return record.select(
         F.concat(day, F.lit("#"), spread).alias("partition_key"),

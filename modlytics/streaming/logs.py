@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from modlytics.sources.logs import content_hash, event_time, parse_log_lines, split_log_lines
+from modlytics.streaming.parts import part_name, write_batch
 
 # Wrapped items as ``write_log`` lays them out.
 ITEM_SCHEMA = T.StructType(
@@ -25,19 +26,39 @@ ITEM_SCHEMA = T.StructType(
 def stream_logs(
     spark: SparkSession, path: str, format: str = "json", files_per_batch: int | None = None
 ) -> DataFrame:
-    """New records of a growing log, with ``ts``; broken lines are passed over.
+    """New records of a growing log, with ``ts``; ``stream_log_tables`` keeps the broken lines as well.
 
     ``json`` reads text files of JSON lines, ``parquet`` the dated item table.
     """
+    return event_time(split_log_lines(stream_parsed(spark, path, format, files_per_batch))[0])
+
+
+def stream_parsed(
+    spark: SparkSession, path: str, format: str = "json", files_per_batch: int | None = None
+) -> DataFrame:
+    """All lines of a growing log, parsed; ``_corrupt_record`` holds those that are broken."""
     reader = spark.readStream
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     if format == "json":
-        good, _ = split_log_lines(parse_log_lines(reader.text(path)))
-    else:
-        items = reader.schema(ITEM_SCHEMA).parquet(path)
-        good, _ = split_log_lines(parse_log_lines(items.filter(F.col("data").isNotNull()), "data"))
-    return event_time(good)
+        return parse_log_lines(reader.text(path))
+    items = reader.schema(ITEM_SCHEMA).parquet(path)
+    return parse_log_lines(items.filter(F.col("data").isNotNull()), "data")
+
+
+def stream_log_tables(parsed: DataFrame, path: str, checkpoint: str):
+    """Writer for ``stream_parsed``: ``<path>/records`` and, for broken lines, ``<path>/broken``; start it to run.
+
+    Both tables are written from one reading of a batch, which is replaced as a whole on a replay.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        part = part_name(batch.sparkSession, checkpoint, number)
+        good, bad = split_log_lines(batch)
+        write_batch(event_time(good), f"{path}/records", part)
+        write_batch(bad, f"{path}/broken", part)
+
+    return parsed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
 def dedupe_log(logs: DataFrame, ts: str = "ts", watermark: str = "1 hour") -> DataFrame:

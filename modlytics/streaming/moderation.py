@@ -1,7 +1,8 @@
 """Moderation on arriving comments, and the review queue kept from two streams.
 
-Every micro-batch writes its own folder ``batch=<id>`` in overwrite mode.  A batch that
-is replayed after a failure therefore replaces its own rows and nothing else.
+Every micro-batch writes its own folder, named after the query and the batch.  A batch that is
+replayed after a failure therefore meets its own rows and nothing else, and a query that starts
+again from a new checkpoint leaves the rows of the earlier one alone.
 """
 
 from __future__ import annotations
@@ -14,10 +15,7 @@ from pyspark.sql import functions as F
 from modlytics.operators.queue import apply_reviews, is_expired, unknown_reviews
 from modlytics.plans.moderation import moderate_table
 from modlytics.schema import QUEUE_SCHEMA, REVIEW_SCHEMA
-
-
-def write_batch(df: DataFrame, path: str, batch: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+from modlytics.streaming.parts import part_name, write_batch
 
 
 def read_batches(spark: SparkSession, path: str, schema=None) -> DataFrame:
@@ -38,7 +36,8 @@ def stream_moderate(
     """Writer for decisions, queue rows, log rows and rejects under ``path``; start it to run."""
 
     def write(batch_rows: DataFrame, batch: int) -> None:
-        moderate_table(batch_rows, score, path, created_at, text, content_key, f"batch={batch}")
+        part = part_name(batch_rows.sparkSession, checkpoint, batch)
+        moderate_table(batch_rows, score, path, created_at, part, text, content_key)
 
     return requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
@@ -57,10 +56,11 @@ def stream_queue(items: DataFrame, reviews: DataFrame, path: str, checkpoint: st
     )
 
     def write(batch_rows: DataFrame, batch: int) -> None:
+        part = part_name(batch_rows.sparkSession, checkpoint, batch)
         item, review = F.col("kind") == "item", F.col("kind") == "review"
-        write_batch(batch_rows.filter(item).select(*QUEUE_SCHEMA.fieldNames()), f"{path}/items", batch)
+        write_batch(batch_rows.filter(item).select(*QUEUE_SCHEMA.fieldNames()), f"{path}/items", part)
         write_batch(
-            batch_rows.filter(review).select(*REVIEW_SCHEMA.fieldNames()), f"{path}/reviews", batch
+            batch_rows.filter(review).select(*REVIEW_SCHEMA.fieldNames()), f"{path}/reviews", part
         )
 
     return both.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -69,8 +69,13 @@ def stream_queue(items: DataFrame, reviews: DataFrame, path: str, checkpoint: st
 def queue_state(
     spark: SparkSession, path: str, as_of: Column | None = None, days: int = 30
 ) -> tuple[DataFrame, DataFrame]:
-    """(queue with reviews applied and old items left out, reviews of unknown ids)."""
-    items = read_batches(spark, f"{path}/items", QUEUE_SCHEMA)
+    """(queue with reviews applied and old items left out, reviews of unknown ids).
+
+    An item that arrived more than once is one item, as it arrived first.
+    """
+    arrived = read_batches(spark, f"{path}/items", QUEUE_SCHEMA)
+    first = F.min_by(F.struct(*QUEUE_SCHEMA.fieldNames()), F.coalesce("created_at", F.lit(0).cast("timestamp")))
+    items = arrived.groupBy("queue_id").agg(first.alias("item")).select("item.*")
     reviews = read_batches(spark, f"{path}/reviews", REVIEW_SCHEMA)
     queue = apply_reviews(items, reviews)
     kept = queue if as_of is None else queue.filter(~is_expired(as_of, days))

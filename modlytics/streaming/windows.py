@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from modlytics.functions.values import round_half_even
 
@@ -21,7 +22,7 @@ def stream_toxicity(
 ) -> DataFrame:
     """Volume and toxicity per event-time window.
 
-    On a stream, rows later than the watermark are dropped; ``late_rows`` counts them.
+    On a stream, rows later than the watermark are dropped; ``LateRows`` counts them.
     """
     return (
         predictions.withWatermark(ts, watermark)
@@ -133,13 +134,29 @@ def activity_sessions(df: DataFrame, gap_seconds: int = 86_400, ts: str = "ts")
     return merge_sessions(slots.drop("slot"), gap_seconds)
 
 
-def late_rows(query) -> int:
-    """What a query dropped behind its watermark.
+class LateRows(StreamingQueryListener):
+    """Counts what streams drop behind their watermarks, over their whole lives.
 
-    Spark counts after folding rows of one batch and window, so those count once.
+    Register one with ``spark.streams.addListener`` before the queries start.  Spark counts after folding
+    rows of one batch and window, so those count once.
     """
-    return sum(
-        state.get("numRowsDroppedByWatermark", 0)
-        for progress in query.recentProgress
-        for state in progress["stateOperators"]
-    )
+
+    def __init__(self) -> None:
+        self.counts: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.counts.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:
+        dropped = sum(state.numRowsDroppedByWatermark for state in event.progress.stateOperators)
+        key = str(event.progress.id)
+        self.counts[key] = self.counts.get(key, 0) + dropped
+
+    def onQueryIdle(self, event) -> None:
+        """Nothing arrived."""
+
+    def onQueryTerminated(self, event) -> None:
+        """The count stays."""
+
+    def of(self, query) -> int:
+        return self.counts.get(str(query.id), 0)

@@ -22,9 +22,10 @@ OPERATORS = [f"{group}{i}" for group, n in
 
 
 def test_every_operator_is_registered():
-    registered = {re.match(r"[a-h]\d+", name).group() for name in contract.queries()}
-    assert registered == set(OPERATORS)
-    assert set(contract.queries()) - set(contract.oracle_sql()) == WITHOUT_SQL
+    # The queries of the optional pipeline operators have tests of their own.
+    own = {name for name in contract.queries() if re.match(r"[a-h]\d", name)}
+    assert {name.split("_")[0] for name in own} == set(OPERATORS)
+    assert own - set(contract.oracle_sql()) == WITHOUT_SQL
 
 
 def test_entry(spark):
@@ -35,9 +36,9 @@ def test_entry(spark):
 
 @pytest.mark.parametrize(
     "name",
-    ["a5_read_logs", "b4_parse_ts", "c6_validate_requests", "d1_stratified_split", "d9_l2_normalize",
+    ["a5_read_logs", "b4_parse_ts", "b5_event_date", "c4_validate_training", "d5_ngrams", "g12_length_drift", "c6_validate_requests", "d1_stratified_split", "d9_l2_normalize",
      "e8_label_roc_auc", "f3_moderation_decision", "f8_apply_reviews", "g1_parse_predictions", "g13_length_density",
-     "h5_stream_silence"],
+     "g14_length_summary", "h1_stream_logs", "h2_stream_moderate", "h5_stream_silence", "h6_stream_queue"],
 )
 def test_sample_of_queries_against_sql(spark, name):
     con = duckdb.connect()

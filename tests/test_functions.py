@@ -137,3 +137,24 @@ def test_label_equality_and_maximum(spark, scored):
     ).orderBy("comment_id").collect()
     assert [(r.top, r.n, r.any) for r in top] == [(0.8, 2, True), (0.1, 0, False), (0.95, 4, True)]
     assert top[0]['keys'] == list(LABELS)
+
+
+def test_times_are_utc_in_any_session_zone(spark):
+    from pyspark.sql import functions as F
+
+    from modlytics.functions.values import event_date, iso_utc, parse_ts
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        found = []
+        for zone in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            texts = ["2024-03-01 00:30:00,054", "2024-03-01T00:30:00", "2024-03-01T00:30:00+02:00", "1970-01-01 00:00:00", "no time"]
+            times = spark.createDataFrame([(t,) for t in texts], "t string").select(parse_ts(F.col("t")).alias("ts"))
+            found.append([(r.i, str(r.d)) for r in times.select(iso_utc(F.col("ts")).alias("i"), event_date(F.col("ts")).alias("d")).collect()])
+        assert found[0] == found[1]
+        assert found[0][0] == ("2024-03-01T00:30:00.054000+00:00", "2024-03-01")
+        assert found[0][2] == ("2024-02-29T22:30:00.000000+00:00", "2024-02-29")
+        assert found[0][3] == ("1970-01-01T00:00:00.000000+00:00", "1970-01-01") and found[0][4] == (None, "None")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

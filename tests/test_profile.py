@@ -61,6 +61,19 @@ def test_same_length_but_other_keys_is_an_error(spark, comments):
         profile.validate_training(comments, moved)
 
 
+def test_repeated_and_null_keys(spark, comments):
+    from pyspark.sql import functions as F
+
+    same = comments.withColumn("comment_id", F.lit("1"))
+    report = profile.validation_report(same, same).first()
+    assert (report.feature_rows, report.label_rows, report.features_without_labels) == (6, 6, 0)
+    fewer = profile.validation_report(same, same.limit(4)).first()
+    assert (fewer.features_without_labels, fewer.labels_without_features) == (2, 0)
+    nameless = comments.withColumn("comment_id", F.when(F.col("comment_id") != "3", F.col("comment_id")))
+    with pytest.raises(ValueError, match="must have a comment_id"):
+        profile.validate_training(nameless, nameless)
+
+
 def test_requests(spark):
     df = spark.createDataFrame(
         [("a", 0.5), ("", 0.0), ("b" * 5000, 1.0), ("c" * 5001, 1.01), (None, None), ("d", -0.1)],

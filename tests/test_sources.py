@@ -91,8 +91,12 @@ def test_log_lines(spark, folder):
 
 def test_strict_mode_fails_on_a_broken_line(spark, folder):
     path = write_lines(folder, LINES + BROKEN[:1])
-    with pytest.raises(Exception, match="(?i)malformed"):
-        lg.read_log_lines(spark, path, "strict")[0].collect()
+    for action in ("collect", "count"):
+        with pytest.raises(Exception, match="Broken log line"):
+            getattr(lg.read_log_lines(spark, path, "strict")[0], action)()
+    blank = write_lines(f"{folder}/blank", [*LINES, ""])
+    with pytest.raises(Exception, match="Broken log line"):
+        lg.read_log_lines(spark, blank, "strict")[0].count()
     whole = write_lines(f"{folder}/whole", LINES)
     assert lg.read_log_lines(spark, whole, "strict")[0].count() == 5
     with pytest.raises(ValueError):
@@ -160,3 +164,19 @@ def test_run_rows_round_trip(spark, folder):
     runs = {r.run_id: r for r in run_table(read_run_metrics(spark, f"{folder}/runs")).collect()}
     assert runs["r1"].algorithm == "A" and runs["r1"].position == 0 and runs["r1"].mean_auc == 0.9
     assert runs["r2"].algorithm is None and runs["r2"].exact_match_accuracy == 0.8
+    # A run that is written again replaces itself; figures of two runs do not mix.
+    worse = spark.createDataFrame([("mean_auc", 0.5)], "name string, value double")
+    write_run_metrics(run_rows(worse, "r1", "a", {}), f"{folder}/runs")
+    runs = {r.run_id: r for r in run_table(read_run_metrics(spark, f"{folder}/runs")).collect()}
+    assert (runs["r1"].mean_auc, runs["r1"].exact_match_accuracy, runs["r2"].mean_auc) == (0.5, None, 0.9)
+
+
+def test_stores_may_order_their_columns_and_maps_differently(spark):
+    flags = F.create_map(F.lit("a"), F.lit(True), F.lit("b"), F.lit(False))
+    turned = F.create_map(F.lit("b"), F.lit(False), F.lit("a"), F.lit(True))
+    base = spark.createDataFrame([("t1", "/predict", "x"), ("t2", "/predict", "y")], "timestamp string, endpoint string, _note string")
+    primary = base.select("timestamp", "endpoint", "_note", flags.alias("predictions"), F.lit(None).cast("double").alias("score"))
+    fallback = base.select(turned.alias("predictions"), "_note", "endpoint", "timestamp")
+    both = lg.read_logs(primary, fallback)
+    assert "_note" in both.columns
+    assert sorted((r.timestamp, r["_note"], r.log_source) for r in both.collect()) == [("t1", "x", "primary"), ("t2", "y", "primary")]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,10 +13,11 @@ from pyspark.sql import functions as F
 from modlytics.operators.moderation import decide
 from modlytics.schema import QUEUE_SCHEMA, REVIEW_SCHEMA
 from modlytics.streaming import moderation as sm
-from modlytics.streaming.logs import dedupe_log, stream_logs
+from modlytics.streaming.logs import dedupe_log, stream_log_tables, stream_logs, stream_parsed
+from modlytics.streaming.parts import part_name
 from modlytics.streaming.windows import (
+    LateRows,
     activity_sessions,
-    late_rows,
     merge_sessions,
     stream_latency,
     stream_silence,
@@ -87,13 +89,29 @@ def test_windows_equal_the_batch_form_and_late_rows_are_counted(spark, folder):
     for name, part in (("a", first), ("b", second[:1]), ("c", second[1:]), ("d", late), ("e", closing)):
         put(f"{folder}/in", name, part)
     build = lambda df: stream_toxicity(df, window="1 hour", watermark="30 minutes")
+    listener = LateRows()
+    spark.streams.addListener(listener)
     out, query = windows(spark, folder, build)
     on_time = spark.createDataFrame(
         [(r["timestamp"][:-4], r["is_toxic"]) for r in first + second], "t string, is_toxic boolean"
     ).select(F.col("t").cast("timestamp").alias("ts"), "is_toxic")
     assert rows(out) == rows(build(on_time))
     # The two rows of the first hour were folded before they were dropped.
-    assert late_rows(query) == 2
+    for _ in range(50):
+        if listener.of(query) >= 2:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(listener)
+    assert listener.of(query) == 2
+
+
+def test_broken_lines_of_a_stream_are_kept(spark, folder):
+    put(f"{folder}/in", "a", [record(1), record(2)])
+    with open(f"{folder}/in/b.json", "w") as file:
+        file.write('{"timestamp": "cut\n')
+    drain(stream_log_tables(stream_parsed(spark, f"{folder}/in"), folder, f"{folder}/state"))
+    assert sm.read_batches(spark, f"{folder}/records").count() == 2
+    assert [r[0] for r in sm.read_batches(spark, f"{folder}/broken").collect()] == ['{"timestamp": "cut']
 
 
 def test_sliding_windows_and_latency(spark, folder):
@@ -175,10 +193,30 @@ def test_moderation_stream(spark, folder):
     assert {r.text for r in queue.collect()} == {"an insult", "another insult"}
     assert sm.read_batches(spark, f"{folder}/log").count() == 3
     assert [r.reasons for r in sm.read_batches(spark, f"{folder}/rejected").collect()] == [["text_too_short"]]
-    # A batch that runs again replaces itself.
+    # A batch that runs again, at another time, meets its own rows and ids.
+    ids = {r.queue_id for r in queue.collect()}
     again = spark.createDataFrame([("4", "another insult")], schema)
-    sm.moderate_table(again, scorer, folder, at(spark, "2024-03-01 10:00:00"), part="batch=1")
+    part = part_name(spark, f"{folder}/state", 1)
+    sm.moderate_table(again, scorer, folder, at(spark, "2024-03-02 11:00:00"), part)
     assert rows(sm.read_batches(spark, f"{folder}/decisions").select(columns)) == rows(want.select(columns))
+    assert {r.queue_id for r in sm.read_batches(spark, f"{folder}/queue").collect()} == ids
+    # A query from a new checkpoint adds to what is there.
+    requests = spark.readStream.schema(first.schema).parquet(f"{folder}/in")
+    drain(sm.stream_moderate(requests, scorer, folder, at(spark, "2024-03-03 10:00:00"), f"{folder}/state2"))
+    assert sm.read_batches(spark, f"{folder}/decisions").count() == 6
+
+
+def test_parts_of_a_table_keep_each_other(spark, folder):
+    schema = "comment_id string, comment_text string"
+    when = at(spark, "2024-03-01 10:00:00")
+    monday = spark.createDataFrame([("1", "an insult"), ("2", "hello")], schema)
+    tuesday = spark.createDataFrame([("3", "hello again")], schema)
+    sm.moderate_table(monday, scorer, folder, when, "day=2024-03-04")
+    sm.moderate_table(tuesday, scorer, folder, when, "day=2024-03-05")
+    with pytest.raises(ValueError, match="other requests"):
+        sm.moderate_table(tuesday, scorer, folder, when, "day=2024-03-04")
+    assert {r.comment_id for r in sm.read_batches(spark, f"{folder}/decisions").collect()} == {"1", "2", "3"}
+    assert sm.read_batches(spark, f"{folder}/log").count() == 3
 
 
 @pytest.fixture
@@ -215,3 +253,7 @@ def test_queue_stream(spark, folder, queue_rows):
     assert state == {"a": ("pending", None), "b": ("reviewed", "approve")} and unknown == ["ghost"]
     state, _ = arrive([("c", "2024-03-25")], [("b", "reject", "2024-03-23"), ("a", "warn", "2024-03-24")])
     assert state == {"a": ("reviewed", "warn"), "b": ("reviewed", "reject"), "c": ("pending", None)}
+    # An item that arrives once more is still one item.
+    arrive([("c", "2024-03-25")], [])
+    whole, _ = sm.queue_state(spark, f"{folder}/q", at(spark, "2024-03-31"))
+    assert whole.count() == 3
