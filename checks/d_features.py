@@ -9,7 +9,7 @@ from checks.sql import COMMENTS, NORMAL, SPLIT, STOP_LIST, WEIGHTS, clean, query
 from modlytics.functions.text import clean_text, ngrams, remove_stop_words, tokenize
 from modlytics.operators import features
 from modlytics.operators.sampling import sample_rows, stratified_split
-from modlytics.operators.training import feature_stages, to_vectors, vector_terms
+from modlytics.operators.training import feature_stages, prepare_features, to_vectors, vector_terms
 from modlytics.plans import views
 from modlytics.schema import LABELS
 
@@ -164,7 +164,7 @@ FROM normal n JOIN split s ON n.comment_id = s.comment_id""",
     ),
 )
 def d11(spark, sf):
-    rows = features.prepare_features(stratified_split(views.comments(spark, sf)))
+    rows = prepare_features(stratified_split(views.comments(spark, sf)))
     return rows.select(
         "comment_id", "is_test", "term", "term_index", F.col("tf").cast("bigint").alias("tf"), r6("weight").alias("weight")
     )
