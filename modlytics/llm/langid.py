@@ -107,7 +107,8 @@ def labelled(docs: DataFrame, text: str, lang: str, learn: Column, key: str, set
     )
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     chance = F.pmod(F.col("draw"), F.lit(1 << 30)) * F.col("n") < F.lit(settings.sample * (1 << 30))
-    drawn = rows.join(counts, "lang").filter(chance)
+    # One row per language, as the model has one column for each; so no text is shuffled by language.
+    drawn = rows.join(F.broadcast(counts), "lang").filter(chance)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
