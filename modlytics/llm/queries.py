@@ -29,6 +29,41 @@ def op6_repetition(spark: SparkSession, folder: str) -> DataFrame:
     return repetition(table(spark, folder, "documents"))
 
 
+ORACLES["op6_repetition"] = r"""WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+placed AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM texts),
+runs AS (
+  SELECT doc_id, 3 AS n, i, string_agg(word, ' ') OVER w AS gram, count(*) OVER w AS size FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) UNION ALL
+  SELECT doc_id, 5 AS n, i, string_agg(word, ' ') OVER w AS gram, count(*) OVER w AS size FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) UNION ALL
+  SELECT doc_id, 8 AS n, i, string_agg(word, ' ') OVER w AS gram, count(*) OVER w AS size FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) UNION ALL
+  SELECT doc_id, 10 AS n, i, string_agg(word, ' ') OVER w AS gram, count(*) OVER w AS size FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)),
+grams AS (SELECT doc_id, n, i, count(*) OVER (PARTITION BY doc_id, n, gram) AS times FROM runs WHERE size = n),
+inside AS (SELECT DISTINCT doc_id, n, unnest(range(i, i + n)) AS i FROM grams WHERE times > 1),
+covered AS (SELECT doc_id, n, count(*) AS words, sum(length(word)) AS chars FROM inside JOIN placed USING (doc_id, i) GROUP BY ALL),
+lines AS (
+  SELECT doc_id, line, count(*) - 1 AS again FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM texts)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY ALL),
+copied AS (
+  SELECT doc_id, CAST(sum(again) AS BIGINT) AS n, sum(again * length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) AS chars
+  FROM lines GROUP BY doc_id),
+counts AS (
+  SELECT t.doc_id, len(t.words) AS n_words, CAST(list_sum(list_transform(t.words, lambda w: length(w))) AS BIGINT) AS word_chars,
+    length(t.text) - length(regexp_replace(t.text, '[#*$%&|<>]', '', 'g')) AS n_symbols FROM texts t),
+shares AS (
+  SELECT c.doc_id, c.n_words, coalesce(c.word_chars, 0) AS word_chars, c.n_symbols, coalesce(l.n, 0) AS n_dup_lines,
+    coalesce(max(g.words) FILTER (g.n = 8), 0) AS n_repeat_words,
+    coalesce(max(CAST(g.chars AS DOUBLE) / c.word_chars), CAST(0 AS DOUBLE)) AS gram_share,
+    coalesce(CAST(max(l.chars) AS DOUBLE) / c.word_chars, CAST(0 AS DOUBLE)) AS line_share,
+    coalesce(bool_or(CAST(g.chars AS DOUBLE) / c.word_chars > CASE g.n WHEN 3 THEN CAST(0.4 AS DOUBLE) ELSE CAST(0.3 AS DOUBLE) END), false) AS failed
+  FROM counts c LEFT JOIN covered g ON g.doc_id = c.doc_id LEFT JOIN copied l ON l.doc_id = c.doc_id
+  GROUP BY c.doc_id, c.n_words, c.word_chars, c.n_symbols, l.n)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, gram_share, line_share,
+  n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR failed OR line_share > CAST(0.3 AS DOUBLE)
+    OR n_symbols > CAST(0.1 AS DOUBLE) * n_words) AS kept
+FROM shares"""
+
+
 @query
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of every document's token ids and of the bytes that they decode to."""
@@ -80,6 +115,24 @@ def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(chat.format_chats(turns))
 
 
+ORACLES["op8_chat"] = r"""WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+escaped AS (
+  SELECT *, regexp_replace(regexp_replace(text, '<(\\*)(/s>|s>)', '<\\\1\2', 'g'),
+      '\[(\\*)(/?SYS\]|/?INST\]|ASST\]|ROLE\]|/?TEXT\])', '[\\\1\2', 'g') AS safe,
+    regexp_replace(regexp_replace(role, '<(\\*)(/s>|s>)', '<\\\1\2', 'g'),
+      '\[(\\*)(/?SYS\]|/?INST\]|ASST\]|ROLE\]|/?TEXT\])', '[\\\1\2', 'g') AS safe_role FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(safe) + CASE role WHEN 'system' THEN length('[SYS][/SYS]') WHEN 'user' THEN length('[INST][/INST]')
+    WHEN 'assistant' THEN length('[ASST]</s>') ELSE length('[ROLE][TEXT][/TEXT]') + length(safe_role) END) AS BIGINT) AS formatted_chars,
+  regexp_full_match(string_agg(role, ' ' ORDER BY turn NULLS FIRST, role, text), '(system )?user assistant( user assistant)*') AS valid
+FROM escaped GROUP BY conv_id"""
+
+
 @query
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """How many words the mix takes of every document."""
