@@ -113,11 +113,27 @@ def ending(word: Column) -> Column:
     return F.when(F.length(word) <= 3, word).otherwise(F.substring(word, F.length(word) - 2, F.lit(3)))
 
 
+def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The words from some count on, as many as there are of the larger counts, at most ``most``.
+
+    The count is found from a histogram of at most some thousand steps of the counts' logarithm, so
+    neither a sort nor each task's own top words come to the driver.
+    """
+    level = F.floor(F.log2("c") * 64).alias("level")
+    steps = counts.groupBy(level).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least")).orderBy(F.desc("level")).collect()
+    total, least = 0, 1 << 62
+    for step in steps:
+        total += step["n"]
+        if total > most:
+            break
+        least = step["least"]
+    return [(bytes(row["word"]), row["c"]) for row in counts.filter(F.col("c") >= least).collect()]
+
+
 def vocabulary(counts: DataFrame, settings: Settings) -> Vocabulary:
     """What the driver and the tasks hold: at most ``known`` words, and sums over all others."""
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("distinct")).first()
-    frequent = counts.orderBy(F.desc("c"), "word").limit(settings.known).collect()
-    listed = [(bytes(row["word"]), row["c"]) for row in frequent]
+    listed = sorted(frequent(counts, settings.known), key=lambda pair: (-pair[1], pair[0]))
     # The end always has an output of its own.
     head = [pair for pair in listed if pair[0] == END] or [(END, 0)]
     listed = head + [pair for pair in listed if pair[0] != END]
@@ -260,7 +276,6 @@ def score_texts(docs: DataFrame, learn: Column, carry: list[str], text: str = "t
     shared = spark.sparkContext.broadcast(known)
     weights = train(training, known, shared, settings)
     final = spark.sparkContext.broadcast(gru.packed(weights, known.shape))
-    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
     kinds = ", ".join(f"c{place} {docs.schema[name].dataType.simpleString()}" for place, name in enumerate(carry))
     own = "row bigint, n_tokens bigint, n_common bigint, base double, score double, rare array<struct<word:binary,n:int>>"
 
@@ -269,7 +284,8 @@ def score_texts(docs: DataFrame, learn: Column, carry: list[str], text: str = "t
         mine = gru.unpacked(final.value, known.shape)
         log_totals = np.log10(known.class_totals)
         for batch in batches:
-            sizes, common, base, scores, rares = [], [], [], [], []
+            sizes, common, base, scores = [], [], [], []
+            words, times, ends = [], [], [0]
             for part in slices(batch.select(["text"]), settings.texts):
                 ids = []
                 for value in part["text"]:
@@ -279,13 +295,19 @@ def score_texts(docs: DataFrame, learn: Column, carry: list[str], text: str = "t
                     sizes.append(len(read))
                     common.append(int((known.more[there] > 0).sum()))
                     base.append(float(known.more[there].sum()))
-                    scores.append(float(known.share[there].sum()) - sum(log_totals[known.tail(word)] for word in rare))
-                    rares.append([{"word": word, "n": n} for word, n in Counter(rare).items()])
+                    tails = read[places < 0] - known.shape.words
+                    scores.append(float(known.share[there].sum()) - float(log_totals[tails].sum()))
+                    each = Counter(rare)
+                    words += each.keys()
+                    times += each.values()
+                    ends.append(len(words))
                 told = gru.score(ids, 0, mine, known.shape) / np.log(10)
                 scores[-len(ids) :] = (np.array(scores[-len(ids) :]) + told).tolist()
+            pairs = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int32())], ["word", "n"])
+            rares = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
             keep = [batch.column(place) for place in range(len(carry))]
             yield pa.RecordBatch.from_arrays(
-                [*keep, batch.column("row"), pa.array(sizes, pa.int64()), pa.array(common, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.array(rares, rare_type)],
+                [*keep, batch.column("row"), pa.array(sizes, pa.int64()), pa.array(common, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), rares],
                 [*(f"c{place}" for place in range(len(carry))), "row", "n_tokens", "n_common", "base", "score", "rare"],
             )
 
