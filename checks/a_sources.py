@@ -16,7 +16,7 @@ from modlytics.operators.profile import require_columns
 from modlytics.operators.training import as_pipeline, fit_logistic, prepare_vectors, score
 from modlytics.plans import views
 from modlytics.schema import LABELS
-from modlytics.session import shared_folder
+from modlytics.session import require_folder
 from modlytics.sources.comments import join_labels
 from modlytics.sources.logs import (
     CORRUPT,
@@ -185,7 +185,7 @@ def a9(spark, sf):
     """Scores of a model that was written and read back, on the held-out comments."""
     prepared = prepare_vectors(views.comments(spark, sf))
     model = as_pipeline(prepared.stages, fit_logistic(prepared.train))
-    path = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
+    path = f"{require_folder(spark)}/model-{uuid.uuid4().hex}"
     facts = spark.range(1).select(
         F.lit("toxic_comment_classifier").alias("model_type"), F.lit("LogisticRegression").alias("algorithm")
     )

@@ -14,7 +14,7 @@ from checks.f_moderation import REVIEW_CTES
 from modlytics.functions.values import iso_utc, round_half_even
 from modlytics.operators.monitor import parse_predictions
 from modlytics.plans import views
-from modlytics.session import shared_folder
+from modlytics.session import require_folder
 from modlytics.sources.logs import event_time, log_items, write_log
 from modlytics.streaming import moderation as sm
 from modlytics.streaming.logs import dedupe_log, stream_logs
@@ -22,7 +22,7 @@ from modlytics.streaming.windows import activity_sessions, stream_latency, strea
 
 
 def fresh(spark, name):
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{require_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def drain(writer):

@@ -61,21 +61,23 @@ def prepare_dataset(df: DataFrame, text: str = "comment_text") -> DataFrame:
 
 
 def dataset_profile(df: DataFrame) -> DataFrame:
-    """Shape, nulls and label statistics as (section, name, metric, value) rows."""
-    entry = lambda section, name, metric: {
-        "section": f"'{section}'", "name": name, "metric": f"'{metric}'", "value": f"double({metric})"
+    """Shape, nulls and label statistics as (section, name, metric, value) rows, in one pass."""
+    sums = [F.sum(F.col(label).cast("bigint")).alias(f"{label}_sum") for label in LABELS]
+    nulls = [F.expr(f"count_if(`{name}` IS NULL)").alias(f"{name}_null") for name in df.columns]
+    counted = df.agg(F.count(F.lit(1)).alias("n"), *nulls, *sums)
+    entry = lambda section, name, metric, value: {
+        "section": f"'{section}'", "name": f"'{name}'", "metric": f"'{metric}'", "value": f"double({value})"
     }
-    shape = [entry("shape", "'dataset'", metric) for metric in ("row_count", "column_count")]
-    missing = entry("missing_values", "column_name", "null_count")
-    statistics = [
-        entry("label_statistics", "label", metric)
-        for metric in ("positive_rate", "positive_count", "total_count")
-    ]
-    return (
-        rows_of(dataset_shape(df), *shape)
-        .unionByName(rows_of(null_counts(df), missing))
-        .unionByName(rows_of(label_statistics(df), *statistics))
-    )
+    rows = [entry("shape", "dataset", "row_count", "n"), entry("shape", "dataset", "column_count", len(df.columns))]
+    rows += [entry("missing_values", name, "null_count", f"`{name}_null`") for name in df.columns]
+    for label in LABELS:
+        known, positive = f"(n - `{label}_null`)", f"coalesce({label}_sum, 0L)"
+        rows += [
+            entry("label_statistics", label, "positive_rate", f"try_divide({positive}, {known})"),
+            entry("label_statistics", label, "positive_count", positive),
+            entry("label_statistics", label, "total_count", "n"),
+        ]
+    return rows_of(counted, *rows)
 
 
 def validation_report(

@@ -55,6 +55,14 @@ def shared_folder(spark: SparkSession) -> str | None:
     return None
 
 
+def require_folder(spark: SparkSession) -> str:
+    """The shared folder, or an error that says how to name one."""
+    folder = shared_folder(spark)
+    if folder is None:
+        raise RuntimeError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Hold a frame that several jobs reuse, so a lost executor costs no recomputation.
 

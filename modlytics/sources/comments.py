@@ -29,7 +29,8 @@ def read_comments(spark: SparkSession, path: str, format: str = "csv") -> DataFr
     """Comment table from CSV with a header, or from parquet.
 
     The header may list the columns in any order and hold more of them.  ``comment_id``
-    is that column, else ``id``, else the row's number in the files as they lie.
+    is that column, else ``id``, else a hash of the row and its file, which every reading repeats;
+    equal rows of one file then share an id.
 
     Quoted texts may span lines, so a CSV file is read by one task: deliver large data as
     many files, or convert it to parquet once.
@@ -51,7 +52,8 @@ def read_comments(spark: SparkSession, path: str, format: str = "csv") -> DataFr
         return df
     if "id" in df.columns:
         return df.withColumnRenamed("id", "comment_id")
-    return df.withColumn("comment_id", F.monotonically_increasing_id().cast("string"))
+    whole = F.concat(F.to_json(F.struct(*df.columns)), F.lit("|"), F.input_file_name())
+    return df.withColumn("comment_id", F.md5(whole))
 
 
 def join_labels(documents: DataFrame, labels: DataFrame, key: str = "comment_id") -> DataFrame:
