@@ -2,18 +2,45 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modlytics.llm import bagminhash, bpe, mixing, secrets
-from modlytics.llm.common import stored, table
+from modlytics.llm.common import noted, release, stored, table
 from modlytics.llm.repetition import kept_rows
 
 #: The rank file of the last stage.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+#: Tables that earlier stages wrote for themselves.
+WORKING: list[str] = []
+
+
+def stage(function: Stage) -> Stage:
+    """A stage that first deletes what earlier stages kept for themselves.
+
+    A stage's result is written before the next stage begins, so its working tables are of no more
+    use, unless ``docs`` was not written and still reads them: those stay.
+    """
+
+    @functools.wraps(function)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(docs, WORKING)
+        with noted() as made:
+            result = function(spark, docs, sf_dir)
+        WORKING.extend(made)
+        return result
+
+    return begun
+
+
 def recount(docs: DataFrame) -> DataFrame:
     """``n_chars`` follows the text, where the table has it and the text has changed."""
     if "n_chars" not in docs.columns:
@@ -22,16 +49,19 @@ def recount(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
 
 
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the repetition rules; null and empty texts do not."""
     return kept_rows(docs)
 
 
+@stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class: the one with the least doc_id; nulls sort last."""
     return bagminhash.first_rows(docs)
 
 
+@stage
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with every secret replaced by a mask; key-like strings that many sources hold stay."""
     found = secrets.find_secrets(docs)
@@ -39,11 +69,13 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return recount(found.withColumn("text", masked).select(*docs.columns))
 
 
+@stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the mix takes them, shard by shard in shuffled order."""
     return recount(mixing.mix_rows(docs))
 
 
+@stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per row doc_id, n_tokens and digests of the ids and of the bytes that they decode to."""
     return bpe.digests(docs, bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
@@ -64,8 +96,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder; each stage reads what the one before has written."""
     docs = table(spark, sf_dir, "documents")
-    for place, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+    for place, (_, apply) in enumerate(STAGES):
+        docs = apply(spark, docs, sf_dir)
         if place < len(STAGES) - 1:
             docs = stored(docs)
     return docs

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +30,35 @@ def text_bytes(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 
 
+#: Lists that note the tables which stored() writes while they stand here.
+COLLECTORS: list[list[str]] = []
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The paths of the tables that stored() writes inside."""
+    made: list[str] = []
+    COLLECTORS.append(made)
+    try:
+        yield made
+    finally:
+        COLLECTORS.remove(made)
+
+
+def release(docs: DataFrame, tables: list[str]) -> None:
+    """Delete those tables that ``docs`` does not read, and take them off the list."""
+    if not tables:
+        return
+    spark = docs.sparkSession
+    read = docs.inputFiles()
+    for path in list(tables):
+        name = path.rpartition("/")[2]
+        if not any(f"/{name}/" in file for file in read):
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+            tables.remove(path)
+
+
 def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write a frame into the shared folder and read it back, which cuts its lineage.
 
@@ -40,6 +70,8 @@ def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     if folder is None:
         raise RuntimeError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    for made in COLLECTORS:
+        made.append(path)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
