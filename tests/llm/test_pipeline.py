@@ -70,3 +70,16 @@ def test_awkward_rows_and_no_rows(spark, awkward, empty):
             if place < 4:
                 assert docs.columns == awkward.columns
             assert docs.count() >= rows or place >= 3
+
+
+def test_working_tables_go_once_nothing_reads_them(spark):
+    from modlytics.llm.common import noted, release
+
+    with noted() as made:
+        first = P.stored(spark.range(3))
+        second = P.stored(spark.range(5))
+    assert len(made) == 2
+    release(second, made)
+    assert len(made) == 1 and second.count() == 5
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FILE_NOT_EXIST"):
+        first.count()
