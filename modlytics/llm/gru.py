@@ -81,54 +81,64 @@ def bounded(weights: np.ndarray, lean: np.ndarray) -> bool:
     return bool((np.abs(weights).sum(axis=0) + np.abs(lean)).max(initial=0) < 60)
 
 
-def log_chances(states: np.ndarray, ids: np.ndarray, weights: Weights, shape: Shape, back: Weights | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+def log_chances(states: np.ndarray, ids: np.ndarray, weights: Weights, shape: Shape, back: Weights | None = None, piece: int = 1024) -> tuple[np.ndarray, np.ndarray | None]:
     """ln P(id | state) for each row: of the class, and of the word in it where the class has words.
 
     With ``back``, gradients of minus their mean are added to it, and those of the states returned.
+    Rows are put in the order of their classes, and ``piece`` of them at a time stay in the processor's cache.
     """
     rows = len(ids)
     kinds = shape.classes_of(ids)
-    logits = states @ weights["class"] + weights["class_lean"]
-    # States lie within 1, so a bound on the logits is known, and only large ones need a shift.
-    if not bounded(weights["class"], weights["class_lean"]):
-        logits -= logits.max(axis=1, keepdims=True)
-    at = np.arange(rows)
-    picked = logits[at, kinds]
-    np.exp(logits, out=logits)
-    totals = logits.sum(axis=1)
-    found = picked - np.log(totals)
-    pull = None
-    if back is not None:
-        logits /= totals[:, None]
-        logits[at, kinds] -= 1
-        logits /= rows
-        back["class"] += states.T @ logits
-        back["class_lean"] += logits.sum(axis=0)
-        pull = logits @ weights["class"].T
-    shift = not bounded(weights["word"].T, weights["word_lean"])
     order = np.argsort(kinds.astype(np.int16), kind="stable")
-    ends = np.searchsorted(kinds[order], np.arange(shape.groups + 1))
-    for group in range(shape.groups):
-        part = order[ends[group] : ends[group + 1]]
-        if not len(part):
-            continue
-        low, high = group * shape.group, min((group + 1) * shape.group, shape.words)
-        inner = states[part] @ weights["word"][low:high].T + weights["word_lean"][low:high]
+    ids, kinds, states = ids[order], kinds[order], states[order]
+    found = np.empty(rows, states.dtype)
+    pull = None if back is None else np.empty_like(states)
+    one = states.dtype.type(1)
+
+    def softmax(low: int, high: int, matrix: np.ndarray, lean: np.ndarray, places: np.ndarray, shift: bool) -> tuple[np.ndarray, np.ndarray]:
+        """ln of the shares of ``places``, and the gradients of the logits where they are wanted."""
+        logits = states[low:high] @ matrix
+        logits += lean
         if shift:
-            inner -= inner.max(axis=1, keepdims=True)
-        place, line = ids[part] - low, np.arange(len(part))
-        chosen = inner[line, place]
-        np.exp(inner, out=inner)
-        sums = inner.sum(axis=1)
-        found[part] += chosen - np.log(sums)
+            logits -= logits.max(axis=1, keepdims=True)
+        at = np.arange(high - low)
+        picked = logits[at, places]
+        np.exp(logits, out=logits)
+        totals = logits @ np.ones(logits.shape[1], logits.dtype)
+        if back is not None:
+            logits *= (one / (totals * rows))[:, None]
+            logits[at, places] -= one / rows
+        return picked - np.log(totals), logits
+
+    # States lie within 1, so a bound on the logits is known, and only large ones need a shift.
+    shift, turned = not bounded(weights["class"], weights["class_lean"]), np.ascontiguousarray(weights["class"].T)
+    for low in range(0, rows, piece):
+        high = min(low + piece, rows)
+        found[low:high], logits = softmax(low, high, weights["class"], weights["class_lean"], kinds[low:high], shift)
         if back is not None:
-            inner /= sums[:, None]
-            inner[line, place] -= 1
-            inner /= rows
-            back["word"][low:high] += inner.T @ states[part]
-            back["word_lean"][low:high] += inner.sum(axis=0)
-            pull[part] += inner @ weights["word"][low:high]
-    return found, pull
+            back["class"] += states[low:high].T @ logits
+            back["class_lean"] += np.ones(high - low, logits.dtype) @ logits
+            np.matmul(logits, turned, out=pull[low:high])
+    shift = not bounded(weights["word"].T, weights["word_lean"])
+    ends = np.searchsorted(kinds, np.arange(shape.groups + 1))
+    for group in range(shape.groups):
+        first, last = group * shape.group, min((group + 1) * shape.group, shape.words)
+        matrix, lean = weights["word"][first:last], weights["word_lean"][first:last]
+        for low in range(ends[group], ends[group + 1], piece):
+            high = min(low + piece, ends[group + 1])
+            told, inner = softmax(low, high, matrix.T, lean, ids[low:high] - first, shift)
+            found[low:high] += told
+            if back is not None:
+                back["word"][first:last] += inner.T @ states[low:high]
+                back["word_lean"][first:last] += np.ones(high - low, inner.dtype) @ inner
+                pull[low:high] += inner @ matrix
+    given = np.empty_like(found)
+    given[order] = found
+    if pull is not None:
+        pulls = np.empty_like(pull)
+        pulls[order] = pull
+        pull = pulls
+    return given, pull
 
 
 def score(texts: list[np.ndarray], start: int, weights: Weights, shape: Shape, buffer: int = 16_384) -> np.ndarray:
@@ -198,37 +208,44 @@ class Trainer:
         width, rows = shape.width, len(ids)
         state = np.zeros((rows, width), np.float32)
         before, told = np.full(rows, start), 0.0
-        for low in range(0, ids.shape[1], window):
-            part = ids[:, low : low + window]
-            inputs = np.concatenate([before[:, None], part[:, :-1]], axis=1)
-            embedded = weights["embed"][inputs]
-            entered = embedded @ weights["enter"] + weights["lean"]
+        # Time comes first, so that what a step reads lies together.
+        ids = np.ascontiguousarray(ids.T)
+        for low in range(0, len(ids), window):
+            part = ids[low : low + window]
+            inputs = np.concatenate([before[None], part[:-1]])
+            entered = (weights["embed"] @ weights["enter"] + weights["lean"])[inputs]
             trace, states = [], [state]
-            for at in range(part.shape[1]):
-                found = step(entered[:, at], states[-1], weights["turn"])
+            for now in entered:
+                found = step(now, states[-1], weights["turn"])
                 states.append(found[0])
                 trace.append(found[1:])
             back = {name: np.zeros_like(value) for name, value in weights.items()}
-            outputs = np.stack(states[1:], axis=1)
-            chances, pull = log_chances(outputs.reshape(-1, width), part.reshape(-1), weights, shape, back)
+            chances, pull = log_chances(np.concatenate(states[1:]), part.reshape(-1), weights, shape, back)
             told += float(chances.sum())
-            pull = pull.reshape(rows, part.shape[1], width)
-            onward = np.zeros((rows, width), np.float32)
+            pull = pull.reshape(len(part), rows, width)
+            onward, turned_back = np.zeros((rows, width), np.float32), np.ascontiguousarray(weights["turn"].T)
             entering = np.empty_like(entered)
-            for at in reversed(range(part.shape[1])):
+            turning = np.empty((rows, 3 * width), entered.dtype)
+            for at in reversed(range(len(part))):
                 keep, reset, new, turned = trace[at]
-                down = pull[:, at] + onward
+                down, into = pull[at] + onward, entering[at]
                 new_in = down * (1 - keep) * (1 - new * new)
-                keep_in = down * (states[at] - new) * keep * (1 - keep)
-                reset_in = new_in * turned * reset * (1 - reset)
-                entering[:, at] = np.concatenate([keep_in, reset_in, new_in], axis=1)
-                turning = np.concatenate([keep_in, reset_in, new_in * reset], axis=1)
+                into[:, :width] = down * (states[at] - new) * keep * (1 - keep)
+                into[:, width : 2 * width] = new_in * turned * reset * (1 - reset)
+                into[:, 2 * width :] = new_in
+                turning[:, : 2 * width] = into[:, : 2 * width]
+                np.multiply(new_in, reset, out=turning[:, 2 * width :])
                 back["turn"] += states[at].T @ turning
-                onward = down * keep + turning @ weights["turn"].T
-            flat = entering.reshape(-1, 3 * width)
-            back["enter"] += embedded.reshape(-1, width).T @ flat
-            back["lean"] += flat.sum(axis=0)
-            np.add.at(back["embed"], inputs.reshape(-1), flat @ weights["enter"].T)
+                onward = down * keep + turning @ turned_back
+            # Gradients are added up by id before the products with the weights.
+            flat, read = entering.reshape(-1, 3 * width), inputs.reshape(-1)
+            order = np.argsort(read.astype(np.int32), kind="stable")
+            ordered = read[order]
+            starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+            sums, there = np.add.reduceat(flat[order], starts, axis=0), ordered[starts]
+            back["embed"][there] = sums @ weights["enter"].T
+            back["enter"] += weights["embed"][there].T @ sums
+            back["lean"] += sums.sum(axis=0)
             self.update(back)
-            state, before = states[-1], part[:, -1]
+            state, before = states[-1], part[-1]
         return told / ids.size

@@ -24,8 +24,8 @@ class Settings:
     """``words`` have an output of their own; the ``known`` most frequent ones are broadcast with their counts.
 
     Other words fall into ``tails`` classes by their last three bytes.  Learners take one segment of
-    ``segment`` tokens in ``every``, from all training texts; ``warm`` texts, of each the first
-    ``warm_tokens`` tokens, give the weights from which they start.
+    ``segment`` tokens in ``every``, by default every token of all training texts; ``warm`` texts, of each
+    the first ``warm_tokens`` tokens, give the weights from which they start.
     """
 
     words: int = 2048
@@ -34,7 +34,7 @@ class Settings:
     width: int = 32
     segment: int = 128
     window: int = 32
-    every: int = 4
+    every: int = 1
     batch: int = 256
     warm: int = 800
     warm_tokens: int = 2048
@@ -207,15 +207,9 @@ def averaged(rows: DataFrame, shape: gru.Shape) -> bytes | None:
     return bytes(first["weights"]) if first else None
 
 
-def train(texts: DataFrame, known: Vocabulary, shared, settings: Settings) -> gru.Weights:
-    """Learners start from common weights, pass over all training texts, each over its own, and are averaged.
-
-    The average is taken where it does better than the start on the texts kept back.
-    """
-    spark = texts.sparkSession
-    weights, back = warm_up(texts, known, shared, settings)
-    begin = spark.sparkContext.broadcast(gru.packed(weights, known.shape))
-    learners = max(settings.learners, spark.sparkContext.defaultParallelism)
+def passes(texts: DataFrame, shared, begin, settings: Settings) -> DataFrame:
+    """(part, seen, weights) of each learner after its pass; ``seen`` is how many tokens it learnt from."""
+    learners = max(settings.learners, texts.sparkSession.sparkContext.defaultParallelism)
     groups = max(1, int(learners**0.5))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,20 +227,34 @@ def train(texts: DataFrame, known: Vocabulary, shared, settings: Settings) -> gr
                 ready.append(cut[(-number) % settings.every :: settings.every])
                 number += len(cut)
                 held += len(ready[-1])
-                while held >= settings.batch:
-                    whole = np.concatenate(ready)
-                    trainer.learn(whole[: settings.batch], 0, settings.window)
-                    ready, held, seen = [whole[settings.batch :]], held - settings.batch, seen + settings.batch * settings.segment
+                if held >= settings.batch:
+                    whole, full = np.concatenate(ready), held // settings.batch * settings.batch
+                    for low in range(0, full, settings.batch):
+                        trainer.learn(whole[low : low + settings.batch], 0, settings.window)
+                    ready, held, seen = [whole[full:].copy()], held - full, seen + full * settings.segment
         if held:
             trainer.learn(np.concatenate(ready), 0, settings.window)
             seen += held * settings.segment
+        # What is left is a shorter segment.
+        if len(rest) and number % settings.every == 0:
+            trainer.learn(rest[None], 0, settings.window)
+            seen += len(rest)
         if seen:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([part % groups]), pa.array([seen]), pa.array([gru.packed(mine, known.shape)], pa.binary())], ["part", "seen", "weights"]
             )
 
-    rows = texts.select("text").coalesce(learners).mapInArrow(learn, "part bigint, seen bigint, weights binary")
-    mean = averaged(rows, known.shape)
+    return texts.select("text").coalesce(learners).mapInArrow(learn, "part bigint, seen bigint, weights binary")
+
+
+def train(texts: DataFrame, known: Vocabulary, shared, settings: Settings) -> gru.Weights:
+    """Learners start from common weights, pass over all training texts, each over its own, and are averaged.
+
+    The average is taken where it does better than the start on the texts kept back.
+    """
+    weights, back = warm_up(texts, known, shared, settings)
+    begin = texts.sparkSession.sparkContext.broadcast(gru.packed(weights, known.shape))
+    mean = averaged(passes(texts, shared, begin, settings), known.shape)
     if mean is None:
         return weights
     better = gru.unpacked(mean, known.shape)

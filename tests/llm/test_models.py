@@ -124,6 +124,19 @@ def test_language_model_counts_are_exact_and_it_beats_them(docs):
     assert score > base
 
 
+def test_language_model_learns_from_every_token(spark):
+    """With the settings of op3_lm; each word stands in three places, and an input moves its embedding."""
+    rng, settings = random.Random(8), lm.Settings()
+    words = [f"w{k}" for k in range(1500)]
+    texts = spark.createDataFrame([(" ".join(rng.sample(words, 1500)).encode(),) for _ in range(3)], "text binary").repartition(1)
+    known = lm.vocabulary(lm.count_words(texts), settings)
+    start = gru.fresh(known.shape, known.frequencies, 1)
+    shared, begin = (spark.sparkContext.broadcast(value) for value in (known, gru.packed(start, known.shape)))
+    (learner,) = lm.passes(texts, shared, begin, settings).collect()
+    moved = (gru.unpacked(learner.weights, known.shape)["embed"] != start["embed"]).any(axis=1)
+    assert learner.seen == known.total == 4503 and moved[: known.shape.words].all()
+
+
 def test_language_model_edges(awkward, empty):
     settings = lm.Settings(words=8, known=16, tails=2, warm=10, rounds=1, batch=4)
     out = lm.score_texts(awkward, F.lit(True), ["doc_id"], settings=settings).collect()
