@@ -16,7 +16,8 @@ class Settings:
     """``weights`` go round the sources in the order of their names; ``most``: how often a text is taken at most.
 
     A block is ``block`` texts that follow each other in their source's random order; a shard holds
-    ``shard`` blocks; a bucket of about ``bucket`` texts is ordered at a time.
+    ``shard`` blocks; a bucket of about ``bucket`` texts is ordered at a time.  Where a source's last
+    pass ends, up to ``near`` texts on either side are looked at to come nearer to the target.
     """
 
     weights: tuple[int, ...] = (1, 2, 3)
@@ -24,6 +25,7 @@ class Settings:
     block: int = 64
     shard: int = 64
     bucket: int = 512
+    near: int = 64
     seed: int = 17
 
 
@@ -79,9 +81,11 @@ def targets(rows: DataFrame, settings: Settings) -> DataFrame:
 
 
 def ranked(rows: DataFrame, goals: DataFrame, settings: Settings) -> DataFrame:
-    """Every text with its rank in its source's random order and how many words of it are taken in the last pass.
+    """Every text with its rank in its source's random order and ``turn``, its rank in the last pass, or null.
 
-    Texts fall into buckets by the leading bits of their draw, so a source of any size is ordered
+    The last pass takes the texts that fit whole, in random order.  If words are then missing, one
+    more text near the end is added, or put in the place of a taken one, where the sum comes nearer to
+    the target by that; no text is cut.  Texts fall into buckets by the leading bits of their draw, so a source of any size is ordered
     bucket by bucket; only the buckets' sums are added up along a source.
     """
     unit = F.shiftrightunsigned("draw", 11).cast("double") / float(1 << 53)
@@ -100,16 +104,43 @@ def ranked(rows: DataFrame, goals: DataFrame, settings: Settings) -> DataFrame:
     )
     within = Window.partitionBy("place", "bucket").orderBy("draw", "key", "row")
     before = F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return (
+    ordered = stored(
         placed.withColumn("rank", F.row_number().over(within) - 1)
         .withColumn("before", before)
         .join(starts, ["place", "bucket"])
         .select(
             "row", "key", "size", "place", "texts", "passes", "draw",
             (F.col("rank") + F.col("n_before")).alias("rank"),
-            F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("before") - F.col("words_before"))).alias("part"),
+            (F.col("before") + F.col("words_before") + F.col("size") <= F.col("rest")).alias("fits"), "rest",
         )
     )
+    change = stored(last_changes(ordered, settings))
+    moved = F.when(F.col("rank") == F.col("enters"), F.col("leaves")).when(F.col("fits") & ~F.col("rank").eqNullSafe(F.col("leaves")), F.col("rank"))
+    return ordered.join(change, "place", "left").select("row", "key", "size", "place", "texts", "passes", "draw", "rank", moved.alias("turn"))
+
+
+def last_changes(ordered: DataFrame, settings: Settings) -> DataFrame:
+    """(place, enters, leaves): the ranks of the text that joins a source's last pass, and of the one it replaces.
+
+    Only sources that come nearer to their target by it have a row; where nothing is replaced,
+    ``leaves`` is the rank behind the last one.
+    """
+    taken = F.coalesce(F.sum(F.when(F.col("fits"), F.col("size"))), F.lit(0))
+    edges = stored(
+        ordered.groupBy("place").agg((F.first("rest") - taken).alias("gap"), F.count_if("fits").alias("end")).filter("gap > 0")
+    )
+    around = stored(
+        ordered.join(edges, "place").filter((F.col("rank") >= F.col("end") - settings.near) & (F.col("rank") < F.col("end") + settings.near))
+        .select("place", "rank", "size", "fits", "gap", "end")
+    )
+    none = edges.select("place", F.col("end").alias("leaves"), F.lit(0).cast("bigint").alias("less"))
+    out = around.filter("fits").select("place", F.col("rank").alias("leaves"), F.col("size").alias("less")).unionByName(none)
+    missing = F.abs(F.col("gap") - F.col("size") + F.col("less"))
+    return (
+        around.filter("not fits").join(out, "place").filter(missing < F.col("gap"))
+        .groupBy("place").agg(F.min(F.struct(missing.alias("missing"), F.col("rank").alias("enters"), (-F.col("leaves")).alias("leaves"))).alias("best"))
+        .select("place", "best.enters", (-F.col("best.leaves")).alias("leaves"))
+    )
 
 
 #: ln(n!) as SQL: fixed values up to 9, Stirling's series above.
@@ -211,14 +242,13 @@ def mixed(rows: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
     """The sources' goals, and the mix: (row, copy, words, shard, position), from rows of sized()."""
     goals = stored(targets(rows, settings))
     texts = ranked(rows, goals, settings)
-    copies = F.explode(F.sequence(F.lit(0), F.col("passes") + (F.col("part") > 0).cast("int") - 1))
+    copies = F.explode(F.sequence(F.lit(0), F.col("passes") + F.col("turn").isNotNull().cast("int") - 1))
     units = stored(
-        texts.filter("passes > 0 or part > 0")
+        texts.filter("passes > 0 or turn is not null")
         .select("*", copies.alias("copy"))
         .select(
-            "row", "place", "copy", "draw",
-            F.when(F.col("copy") < F.col("passes"), F.col("size")).otherwise(F.col("part")).alias("words"),
-            F.floor((F.col("copy") * F.col("texts") + F.col("rank")) / settings.block).alias("block"),
+            "row", "place", "copy", "draw", F.col("size").alias("words"),
+            F.floor((F.col("copy") * F.col("texts") + F.when(F.col("copy") < F.col("passes"), F.col("rank")).otherwise(F.col("turn"))) / settings.block).alias("block"),
         )
     )
     quotas = shard_quotas(goals, units, settings)
@@ -231,9 +261,9 @@ def mixed(rows: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
 def mix_sizes(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", settings: Settings | None = None) -> DataFrame:
     """Per row of ``docs``: key, size, source_size, target, taken.
 
-    A source's words come to its rounded target exactly.  Full passes over a source take each of its
-    texts whole; the last pass takes texts whole in random order, and of one text the words
-    that are missing.  Null texts and texts without words have the size 0 and are not taken; a null
+    Texts are taken whole.  Full passes over a source take each of its texts; the last pass takes texts in
+    random order as long as they fit, and then one more, or one in exchange for another, where the words
+    come nearer to the target by that.  Null texts and texts without words have the size 0 and are not taken; a null
     source is a source, the last one.  Repeated rows are taken row by row, null keys stay, other columns are left
     out, and an empty table gives no rows.  Reruns over the same rows agree.
     """
@@ -252,20 +282,14 @@ def mix_sizes(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
 def mix_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", settings: Settings | None = None) -> DataFrame:
     """The mix itself: the rows of ``docs``, as often as they are taken, shard by shard in shuffled order.
 
-    A text of which only some words are taken is cut behind them.  The columns are those of ``docs``.
+    Texts are whole.  The columns are those of ``docs``.
     """
     settings = settings or Settings()
     rows = sized(docs, key, text, source, settings, carry=True)
     _, mix = mixed(rows, settings)
     inner = {name: f"c{place}" for place, name in enumerate(docs.columns)}
-    edge = WORD.replace("[^", "[").removesuffix("+")
-    pieces = F.split(F.col(inner[text]), f"(?<={edge})(?={WORD.removesuffix('+')})", -1)
-    lead = F.when(F.col(inner[text]).rlike(f"^{edge}"), 1).otherwise(0)
-    cut = F.rtrim(F.array_join(F.slice(pieces, F.lit(1), F.col("words").cast("int") + lead), ""))
-    whole = F.when(F.col("words") < F.col("size"), cut).otherwise(F.col(inner[text]))
     return (
         rows.join(mix, "row")
-        .withColumn(inner[text], whole)
         .repartition("shard")
         .sortWithinPartitions("shard", "position")
         .select(*(F.col(short).alias(name) for name, short in inner.items()))

@@ -83,6 +83,32 @@ def test_mixed_rows(docs):
     assert words == M.mix_sizes(docs).select(F.sum("taken")).first()[0]
 
 
+def test_texts_stay_whole(spark, docs):
+    """Also where most sources have one to three texts and a target within one of them."""
+    rng = random.Random(9)
+    rows = [(k, " ".join(f"w{k}" for _ in range(rng.randint(1, 90))), f"s{min(k, rng.randint(0, 120))}") for k in range(150)]
+    rows += [(150 + k, " ".join(f"w{k}" for _ in range(400)), "long") for k in range(2)]
+    for frame in (docs, spark.createDataFrame(rows, "doc_id bigint, text string, source string")):
+        texts = {r.doc_id: r.text for r in frame.collect()}
+        times = Counter((r.doc_id, r.text) for r in M.mix_rows(frame).collect())
+        assert times and all(texts[key] == text and n <= 3 for (key, text), n in times.items())
+        takes = {r.doc_id: r for r in M.mix_sizes(frame).collect()}
+        assert all(row.taken == row.size * times[key, texts[key]] for key, row in takes.items())
+
+
+def test_whole_texts_come_near_the_target(spark):
+    """A source of one text takes it as often as is nearest; no source is off by more than half of a text."""
+    rng = random.Random(10)
+    rows = [(k, " ".join("w" for _ in range(rng.randint(1, 90))), f"s{k % 40 if k < 200 else k}") for k in range(300)]
+    groups = defaultdict(list)
+    for row in M.mix_sizes(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect():
+        groups[rows[row.doc_id][2]].append(row)
+    alone = [texts[0] for texts in groups.values() if len(texts) == 1]
+    assert len(alone) == 100 and all(abs(r.taken - round(r.target)) <= min(abs(n * r.size - round(r.target)) for n in range(4)) for r in alone)
+    for texts in groups.values():
+        assert abs(sum(r.taken for r in texts) - round(texts[0].target)) <= max(r.size for r in texts) / 2
+
+
 def test_no_python_in_the_plan(docs):
     plan = M.mix_sizes(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
