@@ -166,8 +166,14 @@ def segments(stream: np.ndarray, settings: Settings) -> np.ndarray:
     return stream[: count * settings.segment].reshape(count, settings.segment)
 
 
-def warm_up(texts: DataFrame, known: Vocabulary, shared, settings: Settings) -> tuple[gru.Weights, list[np.ndarray]]:
-    """Weights from a bounded sample of the training texts, and a part of it that is kept back."""
+def drawn(texts: DataFrame, number: float, settings: Settings) -> DataFrame:
+    """(text, draw): about ``warm`` of the ``number`` rows, each drawn by itself, so copies of a text come in their share."""
+    chance = F.pmod("draw", F.lit(1 << 30)) < int(min(1.0, settings.warm / max(1, number)) * (1 << 30))
+    return texts.select("text", F.xxhash64("text", F.monotonically_increasing_id(), F.lit(settings.seed)).alias("draw")).filter(chance)
+
+
+def warm_up(texts: DataFrame, known: Vocabulary, shared, settings: Settings) -> gru.Weights:
+    """Weights from a bounded sample of the training texts, from which the learners start."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,20 +182,16 @@ def warm_up(texts: DataFrame, known: Vocabulary, shared, settings: Settings) ->
                 found += [shared.value.read(value)[0][: settings.warm_tokens].astype("<i4").tobytes() for value in part["text"]]
             yield pa.RecordBatch.from_arrays([batch.column("draw"), pa.array(found, pa.binary())], ["draw", "ids"])
 
-    number = max(1, known.frequencies[0])
-    chance = F.pmod("draw", F.lit(1 << 30)) < int(min(1.0, settings.warm / number) * (1 << 30))
-    drawn = texts.select("text", F.xxhash64("text", F.lit(settings.seed)).alias("draw")).filter(chance).limit(4 * settings.warm)
-    rows = sorted(drawn.mapInArrow(read, "draw bigint, ids binary").collect(), key=lambda row: (row["draw"], row["ids"]))
-    sample = [np.frombuffer(row["ids"], "<i4").astype(np.int64) for row in rows]
+    rows = sorted(drawn(texts, known.frequencies[0], settings).mapInArrow(read, "draw bigint, ids binary").collect(), key=lambda row: (row["draw"], row["ids"]))
+    learn = [np.frombuffer(row["ids"], "<i4").astype(np.int64) for row in rows]
     weights = gru.fresh(known.shape, known.frequencies, settings.seed)
-    back, learn = sample[::8], [ids for place, ids in enumerate(sample) if place % 8]
     trainer, rng = gru.Trainer(weights, known.shape, settings.rate), np.random.default_rng(settings.seed)
     for _ in range(settings.rounds):
         order = rng.permutation(len(learn))
         ready = segments(np.concatenate([learn[i] for i in order]), settings) if len(learn) else np.empty((0, settings.segment), np.int64)
         for low in range(0, len(ready), 64):
             trainer.learn(ready[low : low + 64], 0, settings.window)
-    return weights, back
+    return weights
 
 
 def averaged(rows: DataFrame, shape: gru.Shape) -> bytes | None:
@@ -248,19 +250,11 @@ def passes(texts: DataFrame, shared, begin, settings: Settings) -> DataFrame:
 
 
 def train(texts: DataFrame, known: Vocabulary, shared, settings: Settings) -> gru.Weights:
-    """Learners start from common weights, pass over all training texts, each over its own, and are averaged.
-
-    The average is taken where it does better than the start on the texts kept back.
-    """
-    weights, back = warm_up(texts, known, shared, settings)
+    """Learners start from common weights, pass over all training texts, each over its own, and are averaged."""
+    weights = warm_up(texts, known, shared, settings)
     begin = texts.sparkSession.sparkContext.broadcast(gru.packed(weights, known.shape))
     mean = averaged(passes(texts, shared, begin, settings), known.shape)
-    if mean is None:
-        return weights
-    better = gru.unpacked(mean, known.shape)
-    if back and gru.score(back, 0, better, known.shape).sum() < gru.score(back, 0, weights, known.shape).sum():
-        return weights
-    return better
+    return weights if mean is None else gru.unpacked(mean, known.shape)
 
 
 def score_texts(docs: DataFrame, learn: Column, carry: list[str], text: str = "text", settings: Settings | None = None) -> DataFrame:

@@ -137,6 +137,24 @@ def test_language_model_learns_from_every_token(spark):
     assert learner.seen == known.total == 4503 and moved[: known.shape.words].all()
 
 
+def test_language_model_keeps_what_the_pass_gave(spark, monkeypatch):
+    """Whatever it is worth on the texts of the warm-up."""
+    settings = lm.Settings(words=8, known=16, tails=2, warm=100, rounds=2, batch=4, segment=16)
+    texts = spark.createDataFrame([(b"a b c d e f g",)] * 60, "text binary")
+    known = lm.vocabulary(lm.count_words(texts), settings)
+    other = gru.packed({name: -5 * value for name, value in gru.fresh(known.shape, known.frequencies, 9).items()}, known.shape)
+    monkeypatch.setattr(lm, "averaged", lambda rows, shape: other)
+    weights = lm.train(texts, known, spark.sparkContext.broadcast(known), settings)
+    assert gru.packed(weights, known.shape) == other
+
+
+def test_copies_of_a_text_are_drawn_in_their_share(spark):
+    texts = spark.createDataFrame([(b"one hot text",)] * 900 + [(b"text %d" % k,) for k in range(900)], "text binary")
+    rows = lm.drawn(texts, 1800, lm.Settings(warm=200)).collect()
+    hot = sum(bytes(r.text) == b"one hot text" for r in rows)
+    assert 60 < hot < 140 and 60 < len(rows) - hot < 140
+
+
 def test_language_model_edges(awkward, empty):
     settings = lm.Settings(words=8, known=16, tails=2, warm=10, rounds=1, batch=4)
     out = lm.score_texts(awkward, F.lit(True), ["doc_id"], settings=settings).collect()
