@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modlytics.llm import ann, bagminhash, bpe, chat, langid, lm, mixing, secrets, toxicity
+from modlytics.llm import ann, bagminhash, bpe, chat, interaction, langid, lm, mixing, pii, secrets, toxicity
 from modlytics.llm.common import remainder, table
 from modlytics.llm.repetition import repetition
 
@@ -151,3 +151,107 @@ def op3_lm(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     held_out = remainder(F.col("doc_id"), 7) == 2
     return lm.score_texts(docs.withColumn("held_out", held_out), ~held_out, ["doc_id", "held_out"])
+
+
+@query
+def op12_interaction(spark: SparkSession, folder: str) -> DataFrame:
+    """What five filters remove from every source at each place of each of their orders."""
+    return interaction.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+ORACLES["op12_interaction"] = r"""WITH texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+marked AS (
+  SELECT doc_id, part, CAST(len(words) < 200 AS INTEGER) * 16 + CAST(100 * len(list_distinct(words)) < 50 * len(words) AS INTEGER) * 8
+    + CAST(100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text) AS INTEGER) * 4
+    + CAST(regexp_matches(text, '[#$%&*|]') AS INTEGER) * 2
+    + CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS INTEGER) AS code FROM texts),
+known AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+cells AS (
+  SELECT part, code, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM marked m LEFT JOIN known k ON m.doc_id = k.doc_id GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS name, unnest([16, 8, 4, 2, 1]) AS bit),
+orders AS (
+  SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND (a.bit | b.bit | c.bit | d.bit | e.bit) = 31),
+steps AS (SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0) AS earlier
+  FROM orders, (SELECT unnest(range(1, 6)) AS step) s),
+counted AS (
+  SELECT part, filter_order, step, bit,
+    coalesce(sum(n) FILTER (code & (earlier + bit) = 0), 0) AS kept,
+    coalesce(sum(n) FILTER (code & earlier = 0 AND code & bit > 0), 0) AS removed,
+    coalesce(sum(n) FILTER (code & earlier > 0 AND code & bit > 0), 0) AS redundant,
+    coalesce(sum(n) FILTER (code = bit), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (code & earlier = 0 AND code & bit > 0), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (code & earlier = 0 AND code & bit > 0), 0) AS toxic_lost
+  FROM cells, (SELECT filter_order, step, CAST(bit AS BIGINT) AS bit, CAST(earlier AS BIGINT) AS earlier FROM steps) s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM counted"""
+
+
+@query
+def op13_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of personal data in every document, with their scores."""
+    return pii.digests(pii.find_pii(table(spark, folder, "documents"), carry=["doc_id"]))
+
+
+def listed_sql(values: dict[str, object], kind: str) -> str:
+    """CASE over the kinds of a dictionary."""
+    return f"CASE {kind} " + " ".join(f"WHEN '{name}' THEN '{value}'" for name, value in values.items()) + " END"
+
+
+#: The same patterns for an engine that needs neither possessive runs nor look-behind.
+PII_PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}( ?[A-Z0-9]){11,30}",
+    "insee": r"[12]( ?[0-9]){14}", "dni": r"[0-9]{8}-?[A-Z]", "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
+}
+
+# The text between matches gives their places; the checks are sums and remainders over lists of digits.
+ORACLES["op13_pii"] = rf"""WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+kinds AS (SELECT unnest({list(PII_PATTERNS)}) AS kind, unnest(range({len(PII_PATTERNS)})) AS rank, unnest([{", ".join(f"'{pattern}'" for pattern in PII_PATTERNS.values())}]) AS pattern),
+matched AS (SELECT r, kind, rank, text, regexp_extract_all(text, pattern) AS found, string_split_regex(text, pattern) AS gaps FROM texts, kinds),
+placed AS (
+  SELECT r, kind, rank, text, found[i] AS m, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x)))
+    + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a
+  FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM matched) u),
+sized AS (
+  SELECT * REPLACE (CASE WHEN kind = 'iban' THEN substr(m, 1, coalesce(list_min(list_filter(range(1, length(m) + 1),
+    lambda i: length(replace(substr(m, 1, i), ' ', '')) = size)), 0)) ELSE m END AS m)
+  FROM (SELECT *, CAST(coalesce({listed_sql(pii.IBAN_LENGTHS, "substr(m, 1, 2)")}, '0') AS INTEGER) AS size FROM placed) p),
+read AS (
+  SELECT r, kind, rank, text, m, a, a + length(m) AS b, regexp_replace(m, '[^0-9]', '', 'g') AS digits, replace(m, ' ', '') AS plain,
+    concat(CASE WHEN a > 0 THEN substr(text, a, 1) ELSE '' END, substr(text, a + length(m) + 1, 1)) AS edges,
+    translate(concat(substr(text, greatest(a - {pii.BEFORE}, 0) + 1, least(a, {pii.BEFORE})), chr(10), substr(text, a + length(m) + 1, {pii.AFTER})),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS near FROM sized WHERE m <> ''),
+checked AS (
+  SELECT * FROM read WHERE CASE kind
+    WHEN 'ip' THEN list_bool_and(list_transform(string_split(m, '.'), lambda x: length(ltrim(x, '0')) <= 3 AND CAST('0' || substr(ltrim(x, '0'), 1, 3) AS INTEGER) <= 255))
+    WHEN 'card' THEN length(digits) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda i:
+      CASE WHEN i % 2 = 1 THEN CAST(substr(reverse(digits), i, 1) AS INTEGER)
+        ELSE 2 * CAST(substr(reverse(digits), i, 1) AS INTEGER) // 10 + 2 * CAST(substr(reverse(digits), i, 1) AS INTEGER) % 10 END)) % 10 = 0
+    WHEN 'phone' THEN length(digits) BETWEEN 9 AND 15
+    WHEN 'iban' THEN list_reduce(list_transform(string_split(array_to_string(list_transform(string_split(substr(plain, 5) || substr(plain, 1, 4), ''),
+      lambda x: CASE WHEN x BETWEEN '0' AND '9' THEN x ELSE CAST(ord(x) - 55 AS VARCHAR) END), ''), ''), lambda x: CAST(x AS INTEGER)), lambda x, y: (x * 10 + y) % 97) = 1
+    WHEN 'insee' THEN substr(digits, 4, 2) BETWEEN '01' AND '12' AND 97 - CAST(substr(digits, 1, 13) AS BIGINT) % 97 = CAST(substr(digits, 14, 2) AS BIGINT)
+    WHEN 'dni' THEN substr('{pii.DNI_LETTERS}', CAST(substr(digits, 1, 8) AS INTEGER) % 23 + 1, 1) = right(m, 1)
+    WHEN 'ssn' THEN substr(m, 1, 3) NOT IN ('000', '666') AND substr(m, 1, 3) < '900' AND substr(m, 5, 2) <> '00' AND substr(m, 8, 4) <> '0000'
+    ELSE true END
+  AND CASE WHEN kind = 'insee' THEN NOT regexp_matches(edges, '[0-9]') WHEN kind IN {pii.MORE} THEN NOT regexp_matches(edges, '[0-9A-Za-z]') ELSE true END),
+scored AS (
+  SELECT r, kind, rank, a, b, least(100, greatest(0, CAST({listed_sql(pii.START, "kind")} AS INTEGER)
+    + CASE WHEN regexp_matches(near, {listed_sql(pii.FOR, "kind")}) THEN {pii.RAISE} ELSE 0 END
+    - CASE WHEN regexp_matches(near, '{pii.AGAINST}') THEN {pii.LOWER} ELSE 0 END)) AS score FROM checked),
+stay AS (
+  SELECT * FROM scored s WHERE rank < 4 OR (score >= {pii.ENOUGH}
+    AND NOT EXISTS (SELECT 1 FROM scored o WHERE o.r = s.r AND o.rank < 4 AND o.a < s.b AND s.a < o.b))),
+joined AS (
+  SELECT r, {", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in pii.KINDS)},
+    string_agg(concat_ws(':', kind, a, b), ',' ORDER BY rank, a) FILTER (rank < 4) AS base,
+    string_agg(concat_ws(':', kind, a, b), ',' ORDER BY rank, a) AS spans, string_agg(concat_ws(':', kind, a, score), ',' ORDER BY rank, a) AS scores
+  FROM stay GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in pii.KINDS)}, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(scores, '') AS scores FROM texts LEFT JOIN joined USING (r)"""
