@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modlytics.llm import ann, bagminhash, bpe, chat, interaction, langid, lm, mixing, pii, secrets, toxicity
+from modlytics.llm import ann, bagminhash, bpe, chat, divergence, interaction, langid, lm, mixing, pii, secrets, toxicity
 from modlytics.llm.common import remainder, table
 from modlytics.llm.repetition import repetition
 
@@ -153,6 +153,41 @@ def op3_lm(spark: SparkSession, folder: str) -> DataFrame:
     return lm.score_texts(docs.withColumn("held_out", held_out), ~held_out, ["doc_id", "held_out"])
 
 
+@query
+def op11_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """How far each source's terms are from those of the other sources and of its language."""
+    return divergence.divergence(table(spark, folder, "documents"))
+
+
+ORACLES["op11_divergence"] = r"""WITH texts AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'),
+      lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS terms FROM documents),
+used AS (SELECT r, lang, source, unnest(terms) AS term FROM texts),
+kept AS (SELECT lang, term, count(*) AS n FROM used GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM texts),
+counts AS (SELECT u.lang, u.source, u.term, count(*) AS n FROM used u JOIN kept k ON u.lang = k.lang AND u.term = k.term GROUP BY ALL),
+totals AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY ALL),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 1)) // (coalesce(t.total, 0) + l.v) AS p,
+    1 + (CAST(1000000000 AS HUGEINT) * (k.n + 1)) // (l.total + l.v) AS q
+  FROM groups g JOIN kept k ON k.lang = g.lang JOIN langs l ON l.lang = g.lang
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+  LEFT JOIN totals t ON t.lang = g.lang AND t.source = g.source),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, CAST(((p - q) * (p - q)) // q AS BIGINT) AS value FROM shares WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) u) r WHERE part = 'pair' OR rank <= 200"""
+
+
 @query
 def op12_interaction(spark: SparkSession, folder: str) -> DataFrame:
     """What five filters remove from every source at each place of each of their orders."""
