@@ -191,7 +191,8 @@ def identify(docs: DataFrame, model: Model | None, carry: list[str], text: str =
     ``score`` is the calibrated probability of the prediction; ``rejected`` marks scores below the
     model's threshold, and texts that are null or have no letter, which get ``und`` and 0.0.
     Without a model all texts do.  The whole text is read, in chunks, where it is scanned.
-    Repeated rows give equal results, null keys stay, an empty table gives no rows.
+    Repeated rows give equal results, null keys stay, an empty table gives no rows.  Columns in
+    ``carry`` that are named like a result make way for it; all other names are kept as they are.
     """
     settings = settings or Settings()
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -215,4 +216,7 @@ def identify(docs: DataFrame, model: Model | None, carry: list[str], text: str =
 
     lettered = F.when(F.col(text).rlike(r"\p{L}"), F.col(text).cast("binary"))
     names = [name for name in carry if name not in ("lang_pred", "score", "rejected")]
-    return docs.select(*names, predict(lettered).alias("found")).select(*names, "found.*")
+    held = "found"
+    while held in {name.lower() for name in names}:
+        held += "_"
+    return docs.select(*names, predict(lettered).alias(held)).select(*names, f"{held}.*")
