@@ -114,20 +114,30 @@ def ending(word: Column) -> Column:
 
 
 def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """The words from some count on, as many as there are of the larger counts, at most ``most``.
+    """The words of the larger counts, at most ``most``.
 
-    The count is found from a histogram of at most some thousand steps of the counts' logarithm, so
-    neither a sort nor each task's own top words come to the driver.
+    Where they end is found from a histogram of at most some thousand steps of the counts' logarithm, so
+    neither a sort nor each task's own top words come to the driver.  Of the step that does not fit whole, words
+    are taken in the order of their hash, in slices: what stays free is less than one of 65,536 slices of that step.
     """
-    level = F.floor(F.log2("c") * 64).alias("level")
-    steps = counts.groupBy(level).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least")).orderBy(F.desc("level")).collect()
-    total, least = 0, 1 << 62
+    level, slot = F.floor(F.log2("c") * 64), F.pmod(F.xxhash64("word"), F.lit(1 << 16))
+    steps = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("level")).collect()
+    total, wanted = 0, F.lit(False)
     for step in steps:
-        total += step["n"]
-        if total > most:
+        if total + step["n"] > most:
+            last = level == step["level"]
+            slots = counts.filter(last).groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n")).orderBy("slot").collect()
+            end = 0
+            for part in slots:
+                total += part["n"]
+                if total > most:
+                    break
+                end = part["slot"] + 1
+            wanted = (level > step["level"]) | (last & (slot < end))
             break
-        least = step["least"]
-    return [(bytes(row["word"]), row["c"]) for row in counts.filter(F.col("c") >= least).collect()]
+        total += step["n"]
+        wanted = level >= step["level"]
+    return [(bytes(row["word"]), row["c"]) for row in counts.filter(wanted).collect()]
 
 
 def vocabulary(counts: DataFrame, settings: Settings) -> Vocabulary:
