@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,19 +31,19 @@ def text_bytes(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 
 
-#: Lists that note the tables which stored() writes while they stand here.
-COLLECTORS: list[list[str]] = []
+#: Lists that note the tables which stored() writes inside their block; every thread has its own.
+COLLECTORS: ContextVar[tuple[list[str], ...]] = ContextVar("collectors", default=())
 
 
 @contextmanager
 def noted() -> Iterator[list[str]]:
-    """The paths of the tables that stored() writes inside."""
+    """The paths of the tables that stored() writes inside, in this thread."""
     made: list[str] = []
-    COLLECTORS.append(made)
+    before = COLLECTORS.set((*COLLECTORS.get(), made))
     try:
         yield made
     finally:
-        COLLECTORS.remove(made)
+        COLLECTORS.reset(before)
 
 
 def release(docs: DataFrame, tables: list[str]) -> None:
@@ -70,7 +71,7 @@ def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     if folder is None:
         raise RuntimeError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
-    for made in COLLECTORS:
+    for made in COLLECTORS.get():
         made.append(path)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
