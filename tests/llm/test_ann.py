@@ -64,3 +64,45 @@ def test_few_rows_and_none(spark):
 
 def test_chi_square_quantile():
     assert abs(A.chi_square_quantile(0.95, 8) - 15.507) < 0.01 and abs(A.chi_square_quantile(0.95, 2) - 5.991) < 0.01
+
+
+def recall(got: dict, want: dict) -> float:
+    hits = sum(len({key for key, _ in got.get(q, [])} & {key for key, _ in want[q]}) for q in want)
+    return hits / sum(map(len, want.values()))
+
+
+def test_recall_with_the_settings_of_the_query(spark):
+    """The given vectors, as many leaves as a smaller leaf makes, all else as in the query."""
+    frame = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [(row["vec_id"], [float(x) for x in row["embedding"]] if row["embedding"] is not None else None) for row in frame.collect()]
+    out = A.neighbours(frame, 20, 20, settings=A.Settings(leaf=128)).collect()
+    assert recall(answers(out), exact(rows, 20, 20)) >= 0.9
+
+
+def test_leaves_are_pruned(spark):
+    """Clusters that lie apart: a query verifies little beyond its own."""
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((16, 12)) * 20
+    rows = [(i, [float(x) for x in centres[i % 16] + rng.standard_normal(12)]) for i in range(1600)]
+    out = A.neighbours(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), 10, 20, settings=A.Settings(leaf=100)).collect()
+    verified = {row.query_id: row.verified for row in out}
+    assert recall(answers(out), exact(rows, 20, 10)) >= 0.9
+    assert sum(verified.values()) < 0.35 * 1600 * len(verified)
+
+
+@pytest.mark.parametrize("scale", [1e-170, 1e-300, 1e150])
+def test_very_small_and_very_large_vectors_take_part(spark, scale):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.standard_normal(8) * scale]) for i in range(40)]
+    rows += [(100 + i, [float(x) for x in rng.standard_normal(8)]) for i in range(20)]
+    out = answers(A.neighbours(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), 5, 20, settings=SMALL).collect())
+    assert set(out) == {0, 20, 100} and all(len(found) == 5 for found in out.values())
+    assert recall(out, exact(rows, 20, 5)) >= 0.9
+
+
+def test_columns_of_other_names_do_no_harm(spark, rows):
+    from pyspark.sql import functions as F
+
+    frame = spark.createDataFrame(rows[:100], "vec_id bigint, embedding array<double>")
+    extra = frame.select("*", *(F.lit("x").alias(name) for name in ("id", "row", "leaf", "raw", "hits", "seen", "vector", "bound", "largest")))
+    assert answers(A.neighbours(extra, settings=SMALL).collect()) == answers(A.neighbours(frame, settings=SMALL).collect())
