@@ -19,26 +19,22 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Tables that earlier stages wrote for themselves.
-WORKING: list[str] = []
-
 
 def stage(function: Stage) -> Stage:
-    """A stage that first deletes what earlier stages kept for themselves.
+    """A stage that deletes those of its own working tables that its result does not read.
 
-    A stage's result is written before the next stage begins, so its working tables are of no more
-    use, unless ``docs`` was not written and still reads them: those stay.
+    What the result reads stays as long as the shared folder does: nobody knows which frames are made from
+    it.  Results of several stages and of several calls can be held at a time.
     """
 
     @functools.wraps(function)
-    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(docs, WORKING)
+    def cleaned(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         with noted() as made:
             result = function(spark, docs, sf_dir)
-        WORKING.extend(made)
+        release(result, made)
         return result
 
-    return begun
+    return cleaned
 
 
 def recount(docs: DataFrame) -> DataFrame:
@@ -94,10 +90,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder; each stage reads what the one before has written."""
+    """All stages over the documents of a folder; each stage reads what the one before has written.
+
+    Tables that this run has written go as soon as its frame does not read them.
+    """
     docs = table(spark, sf_dir, "documents")
-    for place, (_, apply) in enumerate(STAGES):
-        docs = apply(spark, docs, sf_dir)
-        if place < len(STAGES) - 1:
-            docs = stored(docs)
+    with noted() as made:
+        for place, (_, apply) in enumerate(STAGES):
+            docs = apply(spark, docs, sf_dir)
+            if place < len(STAGES) - 1:
+                docs = stored(docs)
+            release(docs, made)
     return docs
