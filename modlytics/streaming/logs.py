@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from modlytics.sources.logs import content_hash, event_time, parse_log_lines, split_log_lines
+from modlytics.sources.tail import tail_lines
 from modlytics.streaming.parts import part_name, write_batch
 
 # Wrapped items as ``write_log`` lays them out.
@@ -28,7 +29,7 @@ def stream_logs(
 ) -> DataFrame:
     """New records of a growing log, with ``ts``; ``stream_log_tables`` keeps the broken lines as well.
 
-    ``json`` reads text files of JSON lines, ``parquet`` the dated item table.
+    ``json`` follows text files of JSON lines as they grow and rotate, ``parquet`` reads the dated item table.
     """
     return event_time(split_log_lines(stream_parsed(spark, path, format, files_per_batch))[0])
 
@@ -36,12 +37,17 @@ def stream_logs(
 def stream_parsed(
     spark: SparkSession, path: str, format: str = "json", files_per_batch: int | None = None
 ) -> DataFrame:
-    """All lines of a growing log, parsed; ``_corrupt_record`` holds those that are broken."""
+    """All lines of a growing log, parsed; ``_corrupt_record`` holds those that are broken.
+
+    ``json`` follows a folder of logs, or one log with its rotated files, line by line: what is appended arrives, and
+    a line that is half written does once its end is there (``tail_lines``).  With ``files_per_batch`` each file is
+    read once, as a whole, which suits logs that are closed when they are delivered.
+    """
     reader = spark.readStream
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     if format == "json":
-        return parse_log_lines(reader.text(path))
+        return parse_log_lines(reader.text(path) if files_per_batch else tail_lines(spark, path))
     items = reader.schema(ITEM_SCHEMA).parquet(path)
     return parse_log_lines(items.filter(F.col("data").isNotNull()), "data")
 
