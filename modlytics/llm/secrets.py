@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -77,13 +79,20 @@ def byte_spans(text: bytes) -> tuple[list[tuple[str, int, int]], list[tuple[str,
         more += [(OWNED, *m.span()) for m in KEY_BLOCK.finditer(text)]
     if b"x" in text.translate(DIGIT_TABLE) and b"x" * 20 in text.translate(TOKEN_TABLE):
         more += [(OWNED, *m.span()) for m in LIKELY.finditer(text) if looks_random(m[0])]
-    taken = [(start, end) for _, start, end in base]
-    free = []
+    return base, apart_from(base, more)
+
+
+def apart_from(base: list[tuple[str, int, int]], more: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Of ``more``, by start and the longer first, those that overlap neither ``base`` nor one taken before; one sorted sweep."""
+    edges = sorted((start, end) for _, start, end in base)
+    starts, ends = [start for start, _ in edges], list(accumulate((end for _, end in edges), max))
+    free, last = [], 0
     for span in sorted(more, key=lambda span: (span[1], -span[2])):
-        if not any(start < span[2] and span[1] < end for start, end in taken):
+        before = bisect_left(starts, span[2])
+        if span[1] >= last and (not before or ends[before - 1] <= span[1]):
             free.append(span)
-            taken.append(span[1:])
-    return base, free
+            last = span[2]
+    return free
 
 
 def spans_of(text: bytes) -> list[Span]:

@@ -62,3 +62,23 @@ def test_awkward_rows(awkward, empty):
     assert found.columns == [*(name for name in awkward.columns if name != "spans"), "spans"]
     assert found.filter(F.size("spans") > 0).count() == 0 and found.count() == 8
     assert S.digests(S.find_secrets(empty)).count() == 0
+
+
+def test_the_sweep_equals_all_comparisons():
+    rng = random.Random(2)
+    for _ in range(300):
+        base, more = ([("k", start, start + rng.randint(1, 9)) for start in (rng.randint(0, 60) for _ in range(rng.randint(0, 8)))] for _ in range(2))
+        taken, want = list(base), []
+        for span in sorted(more, key=lambda span: (span[1], -span[2])):
+            if not any(start < span[2] and span[1] < end for _, start, end in taken):
+                want.append(span)
+                taken.append(span)
+        assert S.apart_from(base, more) == want
+
+
+def test_a_text_of_many_keys_ends():
+    rng = random.Random(4)
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    text = "\n".join("".join(rng.choice(alphabet) for _ in range(40)) for _ in range(40_000)).encode()
+    base, more = S.byte_spans(text)
+    assert len(more) > 20_000 and all(a[2] <= b[1] for a, b in zip(more, more[1:]))
