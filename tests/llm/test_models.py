@@ -203,3 +203,20 @@ def test_network_state_is_carried_through_the_whole_text():
             want += float(gru.log_chances(state, np.array([i]), weights, shape)[0][0])
             before = i
         assert got == pytest.approx(want, rel=1e-4, abs=1e-6)
+
+
+def test_many_equally_frequent_words_fill_the_vocabulary(spark):
+    counts = spark.range(3000).select(F.col("id").cast("string").cast("binary").alias("word"), F.lit(7).cast("bigint").alias("c"))
+    taken = lm.frequent(counts, 2000)
+    assert 1990 <= len(taken) <= 2000 and taken == [pair for pair in taken if pair[1] == 7] and len(set(taken)) == len(taken)
+    more = counts.unionByName(counts.limit(5).withColumn("word", F.concat(F.lit("top"), F.col("word")).cast("binary")).withColumn("c", F.lit(90).cast("bigint")))
+    taken = lm.frequent(more, 2000)
+    assert len(taken) <= 2000 and sum(c == 90 for _, c in taken) == 5
+    assert len(lm.frequent(more, 5000)) == 3005 and lm.frequent(counts.limit(0), 10) == []
+
+
+def test_carried_columns_of_clashing_names_are_kept(docs):
+    extra = docs.limit(3).withColumn("found", F.lit("mine")).withColumn("found_", F.lit("too"))
+    out = langid.identify(extra, None, ["doc_id", "found", "found_"])
+    assert out.columns == ["doc_id", "found", "found_", "lang_pred", "score", "rejected"]
+    assert {(r["found"], r["found_"], r["lang_pred"]) for r in out.collect()} == {("mine", "too", "und")}

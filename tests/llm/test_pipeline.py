@@ -10,7 +10,7 @@ from modlytics.llm.queries import ORACLES, QUERIES
 
 
 def test_names():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
     assert len(P.STAGES) == 5 and P.ORACLE_SQL is None
     import __spark_entry__ as entry
@@ -83,3 +83,25 @@ def test_working_tables_go_once_nothing_reads_them(spark):
     assert len(made) == 1 and second.count() == 5
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FILE_NOT_EXIST"):
         first.count()
+
+
+def test_results_of_several_calls_are_held_at_a_time(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    early, late = docs.filter("doc_id < 200"), docs.filter("doc_id >= 200")
+    first, second = P.near_dedup(spark, early, folder), P.near_dedup(spark, late, folder)
+    third = P.mask_secrets(spark, docs, folder)
+    assert first.count() == 61 and third.count() == docs.count()
+    assert {r.doc_id for r in second.collect()} >= {200, 400} and first.count() == 61
+
+
+def test_threads_note_their_own_tables(spark):
+    import threading
+
+    from modlytics.llm.common import noted
+
+    with noted() as made:
+        other = threading.Thread(target=lambda: P.stored(spark.range(2)))
+        other.start()
+        other.join()
+        P.stored(spark.range(3))
+    assert len(made) == 1
