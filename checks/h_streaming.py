@@ -14,8 +14,10 @@ from checks.f_moderation import REVIEW_CTES
 from modlytics.functions.values import iso_utc, round_half_even
 from modlytics.operators.monitor import parse_predictions
 from modlytics.plans import views
+from modlytics.plans.moderation import read_committed
 from modlytics.session import require_folder
 from modlytics.sources.logs import event_time, log_items, write_log
+from modlytics.sources.queue_store import purge_stored_queue
 from modlytics.streaming import moderation as sm
 from modlytics.streaming.logs import dedupe_log, stream_logs
 from modlytics.streaming.windows import activity_sessions, stream_latency, stream_toxicity
@@ -94,7 +96,7 @@ def h2(spark, sf):
             f"{path}/state",
         )
     )
-    return sm.read_batches(spark, f"{path}/decisions").select(
+    return read_committed(spark, path, "decisions").select(
         "comment_id", "action", "confidence", "reasoning", "queue_id"
     )
 
@@ -169,7 +171,7 @@ WHERE created_at >= TIMESTAMP '2024-01-20'""",
     ),
 )
 def h6(spark, sf):
-    """Items and reviews arrive as two file streams; the state is read afterwards."""
+    """Items and reviews arrive as two file streams; old items are purged from the stored queue, which is read then."""
     path = fresh(spark, "queue")
     views.review_queue(spark, sf).write.parquet(f"{path}/in/items")
     views.reviews(spark, sf).write.parquet(f"{path}/in/reviews")
@@ -177,7 +179,8 @@ def h6(spark, sf):
     reviews = spark.readStream.schema(sm.REVIEW_SCHEMA).parquet(f"{path}/in/reviews")
     drain(sm.stream_queue(items, reviews, path, f"{path}/state"))
     as_of = F.lit("2024-02-19 00:00:00").cast("timestamp")
-    state, _ = sm.queue_state(spark, path, as_of)
+    purge_stored_queue(spark, path, as_of)
+    state, _ = sm.queue_state(spark, path)
     return state.select("queue_id", "status", "final_action", shown(F.col("reviewed_at")).alias("reviewed_at"))
 
 

@@ -74,10 +74,10 @@ def queue_stats(queue: DataFrame) -> DataFrame:
     )
 
 
-def is_expired(as_of: Column, days: int = 30) -> Column:
+def is_expired(as_of: Column, days: int = 30, created: Column | None = None) -> Column:
     """Created before the cut-off; a missing time counts as old."""
     cutoff = as_of - F.make_dt_interval(F.lit(days))
-    return F.coalesce(F.col("created_at") < cutoff, F.lit(True))
+    return F.coalesce((F.col("created_at") if created is None else created) < cutoff, F.lit(True))
 
 
 def purge_queue(queue: DataFrame, as_of: Column, days: int = 30) -> tuple[DataFrame, DataFrame]:

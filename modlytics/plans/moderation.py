@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from modlytics.operators.moderation import enqueue, moderate
 from modlytics.operators.profile import validate_requests
 from modlytics.operators.records import decision_log
+from modlytics.sources.files import exists, matching, put_once
+
+TABLES = ("decisions", "queue", "log", "rejected")
 
 
 def moderate_requests(
@@ -28,9 +33,31 @@ def moderate_requests(
 def written_part(spark: SparkSession, path: str, table: str, part: str) -> DataFrame | None:
     """A part of a table, or None where it was never finished."""
     folder = f"{path}/{table}/{part}"
-    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
-    files = location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return spark.read.parquet(folder) if files.exists(location) else None
+    return spark.read.parquet(folder) if exists(spark, f"{folder}/_SUCCESS") else None
+
+
+def _commit(path: str, part: str) -> str:
+    return f"{path}/commits/{part.replace('/', ',')}.json"
+
+
+def committed_parts(spark: SparkSession, path: str) -> list[str]:
+    """The parts whose tables are all there."""
+    names = [name.rsplit("/", 1)[1] for name in matching(spark, f"{path}/commits/*.json")]
+    return sorted(name.removesuffix(".json").replace(",", "/") for name in names)
+
+
+def read_committed(spark: SparkSession, path: str, table: str, schema: T.StructType | None = None) -> DataFrame:
+    """Decisions, queue, log or rejected rows of the parts that were committed; half-written parts do not show.
+
+    All four tables read after each other may differ by parts committed meanwhile, never by half a part.
+    ``schema`` is needed only while nothing is committed.
+    """
+    folders = [f"{path}/{table}/{part}" for part in committed_parts(spark, path)]
+    if folders:
+        return spark.read.parquet(*folders)
+    if schema is None:
+        raise FileNotFoundError(f"{path} holds no committed part")
+    return spark.createDataFrame([], schema)
 
 
 def moderate_table(
@@ -47,7 +74,8 @@ def moderate_table(
     A part names one set of requests for good, such as a day or a stream's batch.  If it was
     written before, its decisions stand: times and queue ids stay as reviewers know them, whatever
     ``created_at`` says now, and the other tables are written from them again.  A part
-    that holds other requests is not touched; that is an error.
+    that holds other requests is not touched; that is an error.  The part is committed when all four tables
+    hold it, and a committed part is left as it is.
     Requests are scored once: the queue and the log are read off the written decisions.
     """
     spark = requests.sparkSession
@@ -61,7 +89,10 @@ def moderate_table(
         foreign = before.select(content_key).exceptAll(keys).union(keys.exceptAll(before.select(content_key)))
         if foreign.limit(1).count():
             raise ValueError(f"{path}/decisions/{part} holds the decisions of other requests")
+        if exists(spark, _commit(path, part)):
+            return
     written = spark.read.schema(decisions.schema).parquet(f"{path}/decisions/{part}")
     save(enqueue(written, text), "queue")
     save(decision_log(written, text), "log")
     save(rejected, "rejected")
+    put_once(spark, _commit(path, part), json.dumps({"part": part, "tables": TABLES}))

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modlytics.operators.queue import apply_reviews, is_expired, unknown_reviews
+from modlytics.operators.queue import is_expired
 from modlytics.plans.moderation import moderate_table
-from modlytics.schema import QUEUE_SCHEMA, REVIEW_SCHEMA
-from modlytics.streaming.parts import part_name, write_batch
+from modlytics.sources.queue_store import append_entries, queue_entries, queue_of, read_entries, unknown_of
+from modlytics.streaming.parts import part_name, query_id
 
 
 def read_batches(spark: SparkSession, path: str, schema=None) -> DataFrame:
@@ -33,50 +34,43 @@ def stream_moderate(
     text: str = "comment_text",
     content_key: str = "comment_id",
 ):
-    """Writer for decisions, queue rows, log rows and rejects under ``path``; start it to run."""
+    """Writer for decisions, queue rows, log rows and rejects under ``path``; start it to run.
+
+    A batch is read once and is one part of the four tables; ``read_committed`` shows it when all four are there.
+    """
 
     def write(batch_rows: DataFrame, batch: int) -> None:
         part = part_name(batch_rows.sparkSession, checkpoint, batch)
-        moderate_table(batch_rows, score, path, created_at, part, text, content_key)
+        held = batch_rows.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            moderate_table(held, score, path, created_at, part, text, content_key)
+        finally:
+            held.unpersist()
 
     return requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
 def stream_queue(items: DataFrame, reviews: DataFrame, path: str, checkpoint: str):
-    """Writer that keeps arriving items and reviews under ``path``; start it to run.
+    """Writer that keeps arriving items and reviews in the stored queue under ``path``; start it to run.
 
-    Both streams go through one query, told apart by ``kind``.  Nothing is updated in
-    place: ``queue_state`` folds the last review into each item when the queue is read.
+    Both streams go through one query, and a batch of it is one part, written in one reading.  A part that is there,
+    or that a compaction has folded already, is left as it is.
     """
-    both = items.select(
-        F.lit("item").alias("kind"), *QUEUE_SCHEMA.fieldNames(), F.lit(None).cast("string").alias("action")
-    ).unionByName(
-        reviews.select(F.lit("review").alias("kind"), *REVIEW_SCHEMA.fieldNames()),
-        allowMissingColumns=True,
-    )
 
     def write(batch_rows: DataFrame, batch: int) -> None:
-        part = part_name(batch_rows.sparkSession, checkpoint, batch)
-        item, review = F.col("kind") == "item", F.col("kind") == "review"
-        write_batch(batch_rows.filter(item).select(*QUEUE_SCHEMA.fieldNames()), f"{path}/items", part)
-        write_batch(
-            batch_rows.filter(review).select(*REVIEW_SCHEMA.fieldNames()), f"{path}/reviews", part
-        )
+        append_entries(batch_rows, path, query_id(batch_rows.sparkSession, checkpoint), batch)
 
-    return both.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    entries = queue_entries(items, reviews)
+    return entries.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
 def queue_state(
     spark: SparkSession, path: str, as_of: Column | None = None, days: int = 30
 ) -> tuple[DataFrame, DataFrame]:
-    """(queue with reviews applied and old items left out, reviews of unknown ids).
+    """(queue with reviews applied and old items left out, last reviews of unknown ids).
 
     An item that arrived more than once is one item, as it arrived first.
     """
-    arrived = read_batches(spark, f"{path}/items", QUEUE_SCHEMA)
-    first = F.min_by(F.struct(*QUEUE_SCHEMA.fieldNames()), F.coalesce("created_at", F.lit(0).cast("timestamp")))
-    items = arrived.groupBy("queue_id").agg(first.alias("item")).select("item.*")
-    reviews = read_batches(spark, f"{path}/reviews", REVIEW_SCHEMA)
-    queue = apply_reviews(items, reviews)
-    kept = queue if as_of is None else queue.filter(~is_expired(as_of, days))
-    return kept, unknown_reviews(items, reviews)
+    entries = read_entries(spark, path)
+    queue = queue_of(entries)
+    return queue if as_of is None else queue.filter(~is_expired(as_of, days)), unknown_of(entries)

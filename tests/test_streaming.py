@@ -11,7 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from modlytics.operators.moderation import decide
+from modlytics.plans import moderation as plan
 from modlytics.schema import QUEUE_SCHEMA, REVIEW_SCHEMA
+from modlytics.sources import queue_store as store
 from modlytics.streaming import moderation as sm
 from modlytics.streaming.logs import dedupe_log, stream_log_tables, stream_logs, stream_parsed
 from modlytics.streaming.parts import part_name
@@ -257,3 +259,67 @@ def test_queue_stream(spark, folder, queue_rows):
     arrive([("c", "2024-03-25")], [])
     whole, _ = sm.queue_state(spark, f"{folder}/q", at(spark, "2024-03-31"))
     assert whole.count() == 3
+
+
+def test_stored_queue_reads_the_newest_version_and_later_parts(spark, folder, queue_rows):
+    path = f"{folder}/q"
+    add = lambda writer, batch, items=(), reviews=(): store.append_entries(
+        store.queue_entries(queue_rows(list(items)) if items else None, review_rows(spark, list(reviews)) if reviews else None),
+        path, writer, batch)
+    state = lambda: {r.queue_id: (r.status, r.final_action) for r in sm.queue_state(spark, path)[0].collect()}
+    unknown = lambda: [r.queue_id for r in sm.queue_state(spark, path)[1].collect()]
+    assert state() == {} and unknown() == []
+    assert add("w", 0, [("a", "2024-03-20"), ("old", "2024-01-01"), ("none", None)])
+    assert add("v", 0, reviews=[("b", "warn", "2024-03-21"), ("old ghost", "warn", "2024-01-01"), ("a", "approve", "2024-03-21")])
+    before = state()
+    assert before == {"a": ("reviewed", "approve"), "old": ("pending", None), "none": ("pending", None)}
+    assert store.compact_queue(spark, path) == 0
+    assert state() == before and sorted(unknown()) == ["b", "old ghost"]
+    # Parts and a snapshot give what parts alone give: an older review changes nothing, a review may come before its item.
+    assert add("w", 1, [("b", "2024-03-22"), ("a", "2024-03-25")], [("a", "reject", "2024-03-20")])
+    entries = store.read_entries(spark, path)
+    assert {r.queue_id: r.item.created_at.day for r in entries.filter("queue_id = 'a'").collect()} == {"a": 20}
+    assert state() == before | {"b": ("reviewed", "warn")}
+    opened = {name.split("/q/")[1].rsplit("/", 1)[0] for name in entries.inputFiles()}
+    assert opened == {f"snapshots/{store.newest_version(spark, path).snapshot}", "entries/query=w/batch=1"}
+    # A replay changes nothing, before its part is folded or after.
+    assert not add("w", 1, [("x", "2024-03-22")]) and not add("w", 0, [("x", "2024-03-22")])
+    # A part without its end is not there.
+    os.makedirs(f"{path}/entries/query=w/batch=2")
+    assert store.purge_stored_queue(spark, path, at(spark, "2024-03-31")) == 2
+    assert state() == {"a": ("reviewed", "approve"), "b": ("reviewed", "warn")} and unknown() == []
+    assert len(os.listdir(f"{path}/snapshots")) == 1 and store.finished_parts(spark, path) == []
+    assert not add("w", 1, [("x", "2024-03-22")]) and add("w", 2, [("x", "2024-03-22")])
+    assert len(state()) == 3
+
+
+def test_of_two_compactions_one_changes_nothing(spark, folder, queue_rows, monkeypatch):
+    path = f"{folder}/q"
+    store.append_entries(store.queue_entries(queue_rows([("a", "2024-03-20")])), path, "w", 0)
+    stale = store.newest_version(spark, path)
+    store.compact_queue(spark, path)
+    made = os.listdir(f"{path}/snapshots")
+    with monkeypatch.context() as patch:
+        patch.setattr(store, "newest_version", lambda *_: stale)
+        with pytest.raises(RuntimeError, match="another compaction"):
+            store.compact_queue(spark, path)
+    assert os.listdir(f"{path}/snapshots") == made and sm.queue_state(spark, path)[0].count() == 1
+
+
+@pytest.mark.parametrize("step", ["enqueue", "decision_log", "put_once"])
+def test_a_part_shows_when_all_its_tables_are_there(spark, folder, monkeypatch, step):
+    requests = spark.createDataFrame([("1", "an insult"), ("2", "hello"), ("3", "")], "comment_id string, comment_text string")
+    run = lambda: sm.moderate_table(requests, scorer, folder, at(spark, "2024-03-01 10:00:00"), "query=q/batch=0")
+    count = lambda: [plan.read_committed(spark, folder, name, QUEUE_SCHEMA).count() for name in plan.TABLES]
+
+    def killed(*_):
+        raise InterruptedError
+
+    with monkeypatch.context() as patch:
+        patch.setattr(plan, step, killed)
+        with pytest.raises(InterruptedError):
+            run()
+    assert count() == [0, 0, 0, 0]
+    for _ in range(2):
+        run()
+        assert count() == [2, 1, 2, 1]
