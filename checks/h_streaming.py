@@ -15,6 +15,7 @@ from modlytics.functions.values import iso_utc, round_half_even
 from modlytics.operators.monitor import parse_predictions
 from modlytics.plans import views
 from modlytics.plans.moderation import read_committed
+from modlytics.schema import QUEUE_SCHEMA, REVIEW_SCHEMA
 from modlytics.session import require_folder
 from modlytics.sources.logs import event_time, log_items, write_log
 from modlytics.sources.queue_store import purge_stored_queue
@@ -175,8 +176,8 @@ def h6(spark, sf):
     path = fresh(spark, "queue")
     views.review_queue(spark, sf).write.parquet(f"{path}/in/items")
     views.reviews(spark, sf).write.parquet(f"{path}/in/reviews")
-    items = spark.readStream.schema(sm.QUEUE_SCHEMA).parquet(f"{path}/in/items")
-    reviews = spark.readStream.schema(sm.REVIEW_SCHEMA).parquet(f"{path}/in/reviews")
+    items = spark.readStream.schema(QUEUE_SCHEMA).parquet(f"{path}/in/items")
+    reviews = spark.readStream.schema(REVIEW_SCHEMA).parquet(f"{path}/in/reviews")
     drain(sm.stream_queue(items, reviews, path, f"{path}/state"))
     as_of = F.lit("2024-02-19 00:00:00").cast("timestamp")
     purge_stored_queue(spark, path, as_of)
