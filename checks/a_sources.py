@@ -17,30 +17,40 @@ from modlytics.operators.training import as_pipeline, fit_logistic, prepare_vect
 from modlytics.plans import views
 from modlytics.schema import LABELS
 from modlytics.session import require_folder
-from modlytics.sources.comments import join_labels
+from modlytics.sources.comments import join_labels, read_comments, write_comments
 from modlytics.sources.logs import (
     CORRUPT,
     log_items,
-    log_range,
-    parse_log_lines,
     read_log_items,
+    read_log_lines,
+    read_log_range,
     read_logs,
+    write_log,
 )
 from modlytics.sources.models import load_model, save_model
-from modlytics.sources.runs import run_rows
+from modlytics.sources.runs import read_run_metrics, run_rows, write_run_metrics
 
 LABEL_LIST = ", ".join(LABELS)
 
 
+def _fresh(spark, name):
+    return f"{require_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 @check(
     "a1_read_comments",
     query([COMMENTS], f"SELECT comment_id, comment_text, lang, source, {LABEL_LIST} FROM comments"),
 )
 def a1(spark, sf):
-    derived = views.comments(spark, sf)
-    texts = derived.select("comment_id", "comment_text", "lang", "source")
-    labels = derived.select("comment_id", *LABELS)
-    return join_labels(texts, labels)
+    """The comments are written as CSV and read back; language and source come from their documents."""
+    path = _fresh(spark, "comments")
+    write_comments(views.comments(spark, sf), path)
+    read = read_comments(spark, path)
+    documents = views.table(spark, sf, "documents")
+    origin = documents.select(F.col("doc_id").cast("string").alias("comment_id"), "lang", "source")
+    texts = read.select("comment_id", "comment_text").join(origin, "comment_id")
+    joined = join_labels(texts, read.select("comment_id", *LABELS))
+    return joined.withColumn("comment_id", F.col("comment_id").cast("bigint"))
 
 
 @check(
@@ -63,16 +73,21 @@ def a2(spark, sf):
 )
 def a3(spark, sf):
     calls = views.activity(spark, sf)
+    number = F.col("event_id").cast("string").alias("message")
     record = F.to_json(
         F.struct(
-            iso_utc(F.col("ts")).alias("timestamp"), "endpoint", "request_text", "prediction_latency"
+            number, iso_utc(F.col("ts")).alias("timestamp"), "endpoint", "request_text", "prediction_latency"
         )
     )
     # Slow calls stand for lines cut off while being written.
     line = F.when(F.col("value") >= 50, F.substring(record, 1, 40)).otherwise(record)
-    parsed = parse_log_lines(calls.select("event_id", line.alias("value")), keep=("event_id",))
-    return parsed.select(
-        "event_id", F.col(CORRUPT).isNotNull().alias("broken"), "endpoint", "timestamp", "request_text"
+    path = _fresh(spark, "lines")
+    calls.select(line.alias("value")).write.text(path)
+    good, bad = read_log_lines(spark, path)
+    cut = bad.select(F.regexp_extract(CORRUPT, '"message":"([0-9]+)"', 1).alias("message"))
+    both = good.withColumn("broken", F.lit(False)).unionByName(cut.withColumn("broken", F.lit(True)), allowMissingColumns=True)
+    return both.select(
+        F.col("message").cast("bigint").alias("event_id"), "broken", "endpoint", "timestamp", "request_text"
     )
 
 
@@ -117,6 +132,13 @@ def _items(spark, sf):
     return log_items(calls, F.col("ts"))
 
 
+def _written_items(spark, sf):
+    """The folder of a dated item table that holds all calls."""
+    path = _fresh(spark, "items")
+    write_log(_items(spark, sf), path)
+    return path
+
+
 def _unwrapped(items):
     schema = T.StructType(
         [
@@ -132,7 +154,8 @@ def _unwrapped(items):
 
 @check("a6_write_log", query([ACTIVITY], ITEM_ORACLE))
 def a6(spark, sf):
-    return _unwrapped(_items(spark, sf)).select(
+    items = spark.read.parquet(_written_items(spark, sf)).withColumn("log_date", F.col("log_date").cast("string"))
+    return _unwrapped(items).select(
         "event_id", "timestamp", "log_date", "log_level",
         F.substring("partition_key", 1, 11).alias("day_key"),
         "endpoint", "request_text", "prediction_latency",
@@ -148,7 +171,7 @@ WHERE ts >= TIMESTAMP '2024-01-10 06:00:00' AND ts < TIMESTAMP '2024-01-12 18:00
     ),
 )
 def a7(spark, sf):
-    chosen = log_range(_items(spark, sf), F.lit("2024-01-10 06:00:00"), F.lit("2024-01-12 18:00:00"))
+    chosen = read_log_range(spark, _written_items(spark, sf), "2024-01-10 06:00:00", "2024-01-12 18:00:00")
     schema = T.StructType(
         [T.StructField("event_id", T.LongType()), T.StructField("endpoint", T.StringType())]
     )
@@ -177,7 +200,9 @@ def a8(spark, sf):
         "train_size": views.comments(spark, sf).agg(F.count(F.lit(1))).scalar(),
     }
     named = metric_names(evaluate(rows, rows))
-    return run_rows(named, "run_1", "logistic_regression", params).withColumn("value", r6("value"))
+    path = _fresh(spark, "runs")
+    write_run_metrics(run_rows(named, "run_1", "logistic_regression", params), path)
+    return read_run_metrics(spark, path).withColumn("value", r6("value"))
 
 
 @check("a9_save_load_model")

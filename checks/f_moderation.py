@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.registry import check, shown
@@ -9,8 +11,10 @@ from checks.sql import (
     ACTIVITY,
     ANY_PRED,
     BASE,
+    CALLS,
     FEEDBACK,
     MODERATED,
+    PREDICTIONS,
     PREDS,
     PRIORITY,
     PROBS,
@@ -28,9 +32,12 @@ from checks.sql import (
 from checks.sql import shown as shown_sql
 from modlytics.functions.labels import flatten_labels, max_label_probability, positive_labels
 from modlytics.operators import moderation, queue
+from modlytics.operators.monitor import parse_predictions
 from modlytics.operators.records import decision_log, feedback_log, review_log
 from modlytics.plans import views
+from modlytics.plans.intake import answer_requests, service_log
 from modlytics.schema import pred_cols, prob_cols
+from modlytics.session import require_folder
 
 PRED_LIST, PROB_LIST = ", ".join(PREDS), ", ".join(PROBS)
 QUEUE_CTES = BASE + [MODERATED, QUEUE]
@@ -222,3 +229,28 @@ def f12(spark, sf):
         .otherwise("escalate")
     )
     return views.activity(spark, sf).select("event_id", moderation.normalize_action(word).alias("action"))
+
+
+VALID_CALLS = CALLS[:-1] + " WHERE length(s.comment_text) BETWEEN 1 AND 5000)"
+
+
+@check(
+    "f11_service_log",
+    query(
+        [SCORED, ACTIVITY, VALID_CALLS, PREDICTIONS],
+        f"""SELECT {iso('ts')} AS "timestamp", endpoint, text_length, is_toxic, round_even(max_probability, 4) AS max_probability,
+  prediction_latency, {PRED_LIST}, """ + listed("round_even({l}_prob, 4) AS {l}_prob") + " FROM predictions",
+    ),
+)
+def f11_service_log(spark, sf):
+    """Both kinds of answers are scored, logged and committed; the reports' rows are read off the stored log."""
+    path = f"{require_folder(spark)}/service-{uuid.uuid4().hex}"
+    calls = views.calls(spark, sf)
+    texts = views.table(spark, sf, "documents").select(F.col("doc_id").alias("comment_id"), F.col("text").alias("comment_text"))
+    requests = calls.join(texts, "comment_id").select("comment_id", "ts", "endpoint", "comment_text", "prediction_latency")
+    for endpoint, scores in (("/predict", False), ("/predict_proba", True)):
+        answer_requests(
+            requests.filter(F.col("endpoint") == endpoint), lambda rows: views.with_scores(rows, "comment_id"),
+            path, f"kind={endpoint[1:]}", F.col("ts"), scores,
+        )
+    return parse_predictions(service_log(spark, path)).drop("ts")

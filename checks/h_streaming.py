@@ -21,7 +21,7 @@ from modlytics.sources.logs import event_time, log_items, write_log
 from modlytics.sources.queue_store import purge_stored_queue
 from modlytics.streaming import moderation as sm
 from modlytics.streaming.logs import dedupe_log, stream_logs
-from modlytics.streaming.windows import activity_sessions, stream_latency, stream_toxicity
+from modlytics.streaming.windows import stored_sessions, stream_latency, stream_slots, stream_toxicity
 
 
 def fresh(spark, name):
@@ -155,8 +155,15 @@ GROUP BY session""",
     ),
 )
 def h5(spark, sf):
-    """Five minutes instead of a day, as the given events never pause for a day."""
-    sessions = activity_sessions(views.activity(spark, sf), gap_seconds=300)
+    """Five minutes instead of a day, as the given events never pause for a day.
+
+    The calls arrive as a stream, a file at a time, which keeps its slots; sessions are read off them.
+    """
+    path = fresh(spark, "activity")
+    views.activity(spark, sf).select("ts").repartition(4).write.parquet(f"{path}/in")
+    calls = spark.readStream.schema("ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    drain(stream_slots(calls, f"{path}/slots", f"{path}/state", gap_seconds=300))
+    sessions = stored_sessions(spark, f"{path}/slots", gap_seconds=300)
     return sessions.select(
         shown(F.col("first_ts")).alias("first_ts"), shown(F.col("last_ts")).alias("last_ts"), "rows",
         r6("silence_seconds").alias("silence_seconds"),

@@ -36,7 +36,7 @@ def written_part(spark: SparkSession, path: str, table: str, part: str) -> DataF
     return spark.read.parquet(folder) if exists(spark, f"{folder}/_SUCCESS") else None
 
 
-def _commit(path: str, part: str) -> str:
+def commit_path(path: str, part: str) -> str:
     return f"{path}/commits/{part.replace('/', ',')}.json"
 
 
@@ -50,11 +50,11 @@ def read_committed(spark: SparkSession, path: str, table: str, schema: T.StructT
     """Decisions, queue, log or rejected rows of the parts that were committed; half-written parts do not show.
 
     All four tables read after each other may differ by parts committed meanwhile, never by half a part.
-    ``schema`` is needed only while nothing is committed.
+    ``schema`` is needed only while nothing is committed.  Folders inside a part, such as days, give no column.
     """
     folders = [f"{path}/{table}/{part}" for part in committed_parts(spark, path)]
     if folders:
-        return spark.read.parquet(*folders)
+        return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(*folders)
     if schema is None:
         raise FileNotFoundError(f"{path} holds no committed part")
     return spark.createDataFrame([], schema)
@@ -89,10 +89,10 @@ def moderate_table(
         foreign = before.select(content_key).exceptAll(keys).union(keys.exceptAll(before.select(content_key)))
         if foreign.limit(1).count():
             raise ValueError(f"{path}/decisions/{part} holds the decisions of other requests")
-        if exists(spark, _commit(path, part)):
+        if exists(spark, commit_path(path, part)):
             return
     written = spark.read.schema(decisions.schema).parquet(f"{path}/decisions/{part}")
     save(enqueue(written, text), "queue")
     save(decision_log(written, text), "log")
     save(rejected, "rejected")
-    put_once(spark, _commit(path, part), json.dumps({"part": part, "tables": TABLES}))
+    put_once(spark, commit_path(path, part), json.dumps({"part": part, "tables": TABLES}))

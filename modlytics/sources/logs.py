@@ -151,9 +151,11 @@ def write_log(items: DataFrame, path: str, mode: str = "append") -> None:
     """Append items to the dated log table.
 
     The rebalance hint gathers a day's rows into few files and splits a day that holds
-    most of them over several tasks.
+    most of them over several tasks.  A file is in the order of time, so its row groups
+    cover short spans and a range of times skips most of them.
     """
-    items.hint("rebalance", "log_date").write.partitionBy("log_date").mode(mode).parquet(path)
+    placed = items.hint("rebalance", "log_date").sortWithinPartitions("log_date", "ts")
+    placed.write.partitionBy("log_date").mode(mode).parquet(path)
 
 
 def log_range(items: DataFrame, from_ts: Column, to_ts: Column) -> DataFrame:

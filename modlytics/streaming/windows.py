@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
 from modlytics.functions.values import round_half_even
+from modlytics.streaming.parts import part_name, write_batch
+
+SLOT_TYPE = "slot bigint, first_ts timestamp, last_ts timestamp, rows bigint"
 
 
 def _window(ts: str, window: str, slide: str | None) -> Column:
@@ -82,56 +85,102 @@ def stream_silence(
     )
 
 
-def merge_sessions(sessions: DataFrame, gap_seconds: int = 86_400) -> DataFrame:
+def _seconds(later: Column, earlier: Column) -> Column:
+    return (F.unix_micros(later) - F.unix_micros(earlier)) / 1e6
+
+
+def merge_sessions(sessions: DataFrame, gap_seconds: int = 86_400, block_seconds: int = 86_400) -> DataFrame:
     """(session, first_ts, last_ts, rows, silence_seconds) out of partial sessions.
 
     A new session starts where ``gap_seconds`` or more passed without a row;
     ``silence_seconds`` is the time since the session before.  Input is one row per
-    partial session or time slot, so the windows see a timeline, not the data.
+    partial session or time slot.  They are ordered inside blocks of the calendar, many at a time; only one row
+    per block, a day unless told otherwise, is ordered over all, to carry the last time and the number of
+    sessions from block to block.
     """
-    timeline = Window.orderBy("first_ts", "last_ts")
-    before = timeline.rowsBetween(Window.unboundedPreceding, -1)
-    seconds = lambda later, earlier: (
-        F.unix_micros(later) - F.unix_micros(earlier)
-    ) / 1e6
-    known = sessions.withColumns(
-        {
-            "first_ts": F.col("first_ts").cast("timestamp"),
-            "last_ts": F.col("last_ts").cast("timestamp"),
-        }
-    )
-    reached = known.withColumn("reached", F.max("last_ts").over(before))
-    quiet = seconds(F.col("first_ts"), F.col("reached"))
-    opened = reached.withColumn("quiet", quiet).withColumn(
-        "opens", F.when(F.col("quiet").isNull() | (F.col("quiet") >= gap_seconds), 1).otherwise(0)
+    block = F.floor(F.unix_seconds("first_ts") / block_seconds).alias("block")
+    times = [F.col(name).cast("timestamp").alias(name) for name in ("first_ts", "last_ts")]
+    known = sessions.select(*times, "rows").withColumn("block", block)
+    blocks = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = known.groupBy("block").agg(F.max("last_ts").alias("end"))
+    carried = ends.select("block", F.max("end").over(blocks).alias("carried"))
+    inside = Window.partitionBy("block").orderBy("first_ts", "last_ts")
+    reached = F.greatest(F.max("last_ts").over(inside.rowsBetween(Window.unboundedPreceding, -1)), "carried")
+    quiet = _seconds(F.col("first_ts"), F.col("reached"))
+    opened = (
+        known.join(carried, "block")
+        .withColumn("reached", reached)
+        .withColumn("quiet", quiet)
+        .withColumn("opens", F.when(F.col("quiet").isNull() | (F.col("quiet") >= gap_seconds), 1).otherwise(0))
     )
-    numbered = opened.withColumn("session", F.sum("opens").over(timeline))
-    return numbered.groupBy("session").agg(
+    # Number 0 inside a block goes on with the last session of the blocks before.
+    local = opened.withColumn("local", F.sum("opens").over(inside)).groupBy("block", "local").agg(
         F.min("first_ts").alias("first_ts"),
         F.max("last_ts").alias("last_ts"),
         F.sum("rows").alias("rows"),
         F.max(F.when(F.col("opens") == 1, F.col("quiet"))).alias("silence_seconds"),
     )
+    numbers = local.groupBy("block").agg(F.max("local").alias("sessions"))
+    before = numbers.select("block", F.coalesce(F.sum("sessions").over(blocks), F.lit(0)).alias("before"))
+    return (
+        local.join(before, "block")
+        .groupBy((F.col("before") + F.col("local")).alias("session"))
+        .agg(
+            F.min("first_ts").alias("first_ts"),
+            F.max("last_ts").alias("last_ts"),
+            F.sum("rows").alias("rows"),
+            F.max("silence_seconds").alias("silence_seconds"),
+        )
+    )
 
 
-def activity_sessions(df: DataFrame, gap_seconds: int = 86_400, ts: str = "ts") -> DataFrame:
-    """Sessions of a batch frame, exactly as ``stream_silence`` finds them.
+def activity_slots(df: DataFrame, gap_seconds: int = 86_400, ts: str = "ts") -> DataFrame:
+    """(slot, first_ts, last_ts, rows) per short slot of time.
 
-    Rows of one short slot can never be apart by the gap, so each slot is first reduced
-    to its first and last time; what is left is as long as the calendar.
+    Rows of one slot can never be apart by the gap, so this is all that sessions need; slots of
+    several frames are merged by ``merge_slots``.
     """
     slot = max(1, gap_seconds // 24)
     moment = F.col(ts).cast("timestamp")
-    slots = (
+    return (
         df.filter(F.col(ts).isNotNull())
         .groupBy(F.floor(F.unix_seconds(moment) / slot).alias("slot"))
-        .agg(
-            F.min(moment).alias("first_ts"),
-            F.max(moment).alias("last_ts"),
-            F.count(F.lit(1)).alias("rows"),
-        )
+        .agg(F.min(moment).alias("first_ts"), F.max(moment).alias("last_ts"), F.count(F.lit(1)).alias("rows"))
+    )
+
+
+def merge_slots(slots: DataFrame) -> DataFrame:
+    """Slots of several batches as one; the order in which they came does not matter."""
+    return slots.groupBy("slot").agg(
+        F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.sum("rows").alias("rows")
     )
-    return merge_sessions(slots.drop("slot"), gap_seconds)
+
+
+def activity_sessions(df: DataFrame, gap_seconds: int = 86_400, ts: str = "ts") -> DataFrame:
+    """Sessions of a batch frame, exactly as ``stream_silence`` finds them.
+
+    Each slot is first reduced to its first and last time; what is left is as long as the calendar.
+    """
+    return merge_sessions(activity_slots(df, gap_seconds, ts), gap_seconds)
+
+
+def stream_slots(df: DataFrame, path: str, checkpoint: str, gap_seconds: int = 86_400, ts: str = "ts"):
+    """Writer that keeps the slots of a stream under ``path``, one part per batch; start it to run.
+
+    No watermark is needed and no row is too late: ``stored_sessions`` merges what the parts hold.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        part = part_name(batch.sparkSession, checkpoint, number)
+        write_batch(activity_slots(batch, gap_seconds, ts).coalesce(1), path, part)
+
+    return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def stored_sessions(spark: SparkSession, path: str, gap_seconds: int = 86_400) -> DataFrame:
+    """Sessions of all that ``stream_slots`` has kept with the same gap."""
+    reader = spark.read.schema(SLOT_TYPE).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
+    return merge_sessions(merge_slots(reader.parquet(path)), gap_seconds)
 
 
 class LateRows(StreamingQueryListener):

@@ -15,6 +15,7 @@ from modlytics.plans import moderation as plan
 from modlytics.schema import QUEUE_SCHEMA, REVIEW_SCHEMA
 from modlytics.sources import queue_store as store
 from modlytics.streaming import moderation as sm
+from modlytics.streaming import windows as stored
 from modlytics.streaming.logs import dedupe_log, stream_log_tables, stream_logs, stream_parsed
 from modlytics.streaming.parts import part_name
 from modlytics.streaming.windows import (
@@ -144,6 +145,44 @@ def test_silence(spark, folder):
     assert got == [(3, None), (2, 250 * 60), (1, 1690 * 60)]
 
 
+def test_sessions_across_days_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    gap = 3 * 86_400
+    for span in (20, 200):
+        seconds = sorted(rng.randrange(span * 86_400) for _ in range(60))
+        df = spark.createDataFrame([(START + datetime.timedelta(seconds=s),) for s in seconds], "ts timestamp")
+        want, quiet = [], None
+        for i, s in enumerate(seconds):
+            if i == 0 or s - seconds[i - 1] >= gap:
+                quiet = float(s - seconds[i - 1]) if i else None
+                want.append([s, s, 0, quiet])
+            want[-1][1:3] = [s, want[-1][2] + 1]
+        got = activity_sessions(df, gap).orderBy("first_ts").collect()
+        first = lambda r: (r.first_ts - START).total_seconds()
+        assert [[first(r), (r.last_ts - START).total_seconds(), r.rows, r.silence_seconds] for r in got] == want
+        assert [r.session for r in got] == list(range(1, len(want) + 1))
+        # Partial sessions may overlap and span days, in any order and block.
+        parts = [stored.merge_sessions(stored.activity_slots(df.sample(0.5, seed), gap), gap) for seed in (1, 2)]
+        whole = df.sample(0.5, 1).unionByName(df.sample(0.5, 2))
+        merged = merge_sessions(parts[0].unionByName(parts[1]), gap, block_seconds=86_400)
+        assert rows(merged.drop("session")) == rows(activity_sessions(whole, gap).drop("session"))
+
+
+def test_stored_slots_equal_the_batch_form(spark, folder):
+    minutes = [[0, 20, 50], [300, 2000], [10, 310]]
+    for i, part in enumerate(minutes):
+        put(f"{folder}/in", "abc"[i], [record(m) for m in part])
+    logs = stream_logs(spark, f"{folder}/in", files_per_batch=1)
+    for _ in range(2):
+        drain(stored.stream_slots(logs, f"{folder}/slots", f"{folder}/state", 3600))
+    got = stored.stored_sessions(spark, f"{folder}/slots", 3600)
+    batch = spark.createDataFrame([(stamp(m),) for part in minutes for m in part], "t string").select(
+        F.col("t").cast("timestamp").alias("ts"))
+    assert rows(got) == rows(activity_sessions(batch, 3600)) and got.count() == 3
+
+
 def test_a_gap_of_exactly_the_limit_opens_a_session(spark):
     df = spark.createDataFrame([(stamp(m),) for m in (0, 59, 119, 178)], "t string").select(
         F.col("t").cast("timestamp").alias("ts"))
