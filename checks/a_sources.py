@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from checks.registry import check, r6, shown
-from checks.sql import ACTIVITY, COMMENTS, METRIC_CTES, iso, query
+from checks.sql import ACTIVITY, COMMENTS, METRIC_CTES, SPLIT, iso, query
 from checks.sql import shown as shown_sql
 from modlytics.functions.values import iso_utc
 from modlytics.operators.evaluation import evaluate, metric_names
@@ -27,7 +27,7 @@ from modlytics.sources.logs import (
     read_logs,
     write_log,
 )
-from modlytics.sources.models import load_model, save_model
+from modlytics.sources.models import ModelFollower, load_model, publish_model, save_model
 from modlytics.sources.runs import read_run_metrics, run_rows, write_run_metrics
 
 LABEL_LIST = ", ".join(LABELS)
@@ -221,3 +221,21 @@ def a9(spark, sf):
     algorithm = metadata.select("algorithm").scalar()
     return score(held_out, loaded).drop("comment_text").withColumn("algorithm", algorithm)
 
+
+@check("a9_model_versions", query([COMMENTS, SPLIT], "SELECT comment_id, TRUE AS same, TRUE AS ruled FROM split WHERE is_test"))
+def a9_versions(spark, sf):
+    """Held-out comments scored by a model before it was published, and by whoever follows its versions after."""
+    prepared = prepare_vectors(views.comments(spark, sf))
+    model = as_pipeline(prepared.stages, fit_logistic(prepared.train))
+    path = _fresh(spark, "models")
+    facts = spark.range(1).select(F.lit("LogisticRegression").alias("algorithm"))
+    texts = views.comments(spark, sf).select("comment_id", "comment_text")
+    held_out = texts.join(prepared.test.select("comment_id"), "comment_id")
+    publish_model(model, facts, path)
+    scores, flags = [f"{label}_prob" for label in LABELS], [f"{label}_pred" for label in LABELS]
+    said = F.array(*scores, *(F.col(flag).cast("double") for flag in flags))
+    before = score(held_out, model).select("comment_id", said.alias("before"))
+    after = ModelFollower(spark, path)(held_out)
+    ruled = [F.col(p).between(0, 1) & (F.col(f) == (F.col(p) > 0.5)) for p, f in zip(scores, flags, strict=True)]
+    rows = after.select("comment_id", said.alias("after"), F.forall(F.array(*ruled), lambda x: x).alias("ruled"))
+    return rows.join(before, "comment_id").select("comment_id", (F.col("before") == F.col("after")).alias("same"), "ruled")

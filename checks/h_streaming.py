@@ -21,7 +21,15 @@ from modlytics.sources.logs import event_time, log_items, write_log
 from modlytics.sources.queue_store import purge_stored_queue
 from modlytics.streaming import moderation as sm
 from modlytics.streaming.logs import dedupe_log, stream_logs
-from modlytics.streaming.windows import stored_sessions, stream_latency, stream_slots, stream_toxicity
+from modlytics.streaming.windows import (
+    late_rows,
+    stored_sessions,
+    stored_toxicity,
+    stream_latency,
+    stream_slots,
+    stream_toxicity,
+    stream_toxicity_table,
+)
 
 
 def fresh(spark, name):
@@ -122,6 +130,33 @@ def h3(spark, sf):
     return windows.withColumns({n: shown(F.col(n)) for n in ("window_start", "window_end")})
 
 
+@check(
+    "h3_late_rows",
+    query(
+        BASE + [PREDICTIONS],
+        f"""SELECT {shown_sql('w')} AS window_start, count(*) FILTER (NOT late) AS total,
+  count(*) FILTER (is_toxic AND NOT late) AS toxic_count, count(*) FILTER (late) AS late
+FROM (SELECT p.*, date_trunc('hour', ts) AS w, ts < TIMESTAMP '2024-01-15' AND
+    date_trunc('hour', ts) + INTERVAL 1 HOUR <= m.top - INTERVAL 12 HOUR AS late
+  FROM predictions p CROSS JOIN (SELECT max(ts) AS top FROM predictions WHERE ts >= TIMESTAMP '2024-01-15'
+    AND ts < TIMESTAMP '2024-01-15 06:00:00') m WHERE ts < TIMESTAMP '2024-01-15 06:00:00') x GROUP BY w""",
+    ),
+)
+def h3_late(spark, sf):
+    """Six hours of predictions come first, then all before them: most of these are late by more than half a day."""
+    path = fresh(spark, "late")
+    columns = ["ts", "is_toxic"]
+    rows = parse_predictions(views.logs(spark, sf)).select(*columns).filter("ts < '2024-01-15 06:00:00'")
+    for part in ("ts >= '2024-01-15'", "ts < '2024-01-15'"):
+        rows.filter(part).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema("ts timestamp, is_toxic boolean").parquet(f"{path}/in")
+        drain(stream_toxicity_table(stream, path, f"{path}/state", window="1 hour", watermark="12 hours"))
+    late = late_rows(spark, path).groupBy("window_start").agg(F.count(F.lit(1)).alias("late"))
+    both = stored_toxicity(spark, path).select("window_start", "total", "toxic_count").join(late, "window_start", "full")
+    counts = [F.coalesce(name, F.lit(0)).alias(name) for name in ("total", "toxic_count", "late")]
+    return both.select(shown(F.col("window_start")).alias("window_start"), *counts)
+
+
 @check(
     "h4_stream_latency",
     query(
@@ -200,9 +235,13 @@ def h6(spark, sf):
     ),
 )
 def h7(spark, sf):
-    """The log of both stores together, where /predict records are in both."""
+    """The log of both stores together, where /predict records are in both, as one stream."""
     records = views.activity(spark, sf).select(
         iso_utc(F.col("ts")).alias("timestamp"), "ts", "endpoint", "request_text", "prediction_latency"
     )
     both = records.unionByName(records.filter(F.col("endpoint") == "/predict"))
-    return dedupe_log(both).drop("ts")
+    path = fresh(spark, "copies")
+    both.write.parquet(f"{path}/in")
+    once = dedupe_log(spark.readStream.schema(both.schema).parquet(f"{path}/in")).drop("ts")
+    drain(once.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state"))
+    return spark.read.parquet(f"{path}/out")

@@ -67,16 +67,19 @@ def stream_log_tables(parsed: DataFrame, path: str, checkpoint: str):
     return parsed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def dedupe_log(logs: DataFrame, ts: str = "ts", watermark: str = "1 hour") -> DataFrame:
+def dedupe_log(logs: DataFrame, ts: str = "ts", watermark: str = "1 hour", shards: int = 32) -> DataFrame:
     """Each record once, also when the second copy comes later within the watermark.
 
-    On a batch frame the same rule over all rows.
+    On a batch frame the same rule over all rows.  A stream drops copies twice: first among the rows of tasks that
+    share a shard, so that a record which is a large part of the input is spread over the shards, then the
+    at most ``shards`` copies that are left.  Both steps remember every record for the watermark's time.
     """
     columns = [name for name in logs.columns if name not in (ts, "log_source")]
     marked = logs.withColumn("_hash", content_hash(logs.select(*columns)))
     keys = ["endpoint", "timestamp", "_hash"]
     if logs.isStreaming:
-        once = marked.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(keys)
+        placed = marked.withWatermark(ts, watermark).withColumn("_shard", F.pmod(F.spark_partition_id(), F.lit(shards)))
+        once = placed.dropDuplicatesWithinWatermark([*keys, "_shard"]).drop("_shard").dropDuplicatesWithinWatermark(keys)
     else:
         once = marked.dropDuplicates(keys)
     return once.drop("_hash")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
 from modlytics.functions.values import round_half_even
-from modlytics.streaming.parts import part_name, write_batch
+from modlytics.sources.files import exists, matching, put_once, read_small
+from modlytics.streaming.parts import part_name, query_id, write_batch
 
 SLOT_TYPE = "slot bigint, first_ts timestamp, last_ts timestamp, rows bigint"
 
@@ -25,7 +29,8 @@ def stream_toxicity(
 ) -> DataFrame:
     """Volume and toxicity per event-time window.
 
-    On a stream, rows later than the watermark are dropped; ``LateRows`` counts them.
+    On a stream, rows later than the watermark are dropped; ``LateRows`` counts them, folded, and
+    ``stream_toxicity_table`` keeps them.
     """
     return (
         predictions.withWatermark(ts, watermark)
@@ -41,6 +46,80 @@ def stream_toxicity(
     )
 
 
+def _reached(spark: SparkSession, path: str, query: str, batch: int) -> int | None:
+    """The greatest event time, in microseconds, of a query's batches before this one."""
+    found = matching(spark, f"{path}/progress/query={query}/batch=*.json")
+    earlier = [n for n in (int(name.rsplit("=", 1)[1].removesuffix(".json")) for name in found) if n < batch]
+    if not earlier:
+        return None
+    return json.loads(read_small(spark, f"{path}/progress/query={query}/batch={max(earlier)}.json"))["reached"]
+
+
+def stream_toxicity_table(
+    predictions: DataFrame,
+    path: str,
+    checkpoint: str,
+    window: str = "1 day",
+    slide: str | None = None,
+    watermark: str = "1 hour",
+    ts: str = "ts",
+):
+    """Writer that keeps window sums under ``path`` and late rows beside them; start it to run.
+
+    A window is closed once the batches before have reached its end and ``watermark`` more.  What arrives for a closed
+    window changes no sum: its rows go to ``late``, whole, with the window they missed.  Open windows
+    are summed per batch, and ``stored_toxicity`` adds the batches up, so no state is kept.  A batch shows when both
+    tables hold it, and a replay of one that shows changes nothing.  Rows without a time are left out.
+    """
+
+    def write(rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
+        query = query_id(spark, checkpoint)
+        done, part = f"{path}/progress/query={query}/batch={batch}.json", f"query={query}/batch={batch}"
+        if exists(spark, done):
+            return
+        before = _reached(spark, path, query, batch)
+        held = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            placed = held.withColumn("w", _window(ts, window, slide))
+            limit = F.timestamp_micros(F.lit(before)) - F.expr(f"INTERVAL '{watermark}'")
+            closed = F.lit(False) if before is None else F.col("w.end") <= limit
+            edges = [F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end")]
+            late = placed.filter(closed).select("*", *edges).drop("w")
+            sums = placed.filter(~closed).groupBy(*edges).agg(
+                F.count("is_toxic").alias("total"), F.count_if("is_toxic").alias("toxic_count")
+            )
+            write_batch(sums, f"{path}/windows", part)
+            write_batch(late, f"{path}/late", part)
+            here = held.agg(F.max(F.unix_micros(F.col(ts).cast("timestamp")))).first()[0]
+            put_once(spark, done, json.dumps({"reached": max((t for t in (before, here) if t is not None), default=None)}))
+        finally:
+            held.unpersist()
+
+    return predictions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def _shown_batches(spark: SparkSession, path: str, table: str) -> DataFrame:
+    done = matching(spark, f"{path}/progress/query=*/batch=*.json")
+    parts = ["/".join(name.removesuffix(".json").rsplit("/", 2)[1:]) for name in done]
+    if not parts:
+        raise FileNotFoundError(f"{path} holds no finished batch")
+    return spark.read.parquet(*(f"{path}/{table}/{part}" for part in parts))
+
+
+def stored_toxicity(spark: SparkSession, path: str) -> DataFrame:
+    """Volume and toxicity per window of all that ``stream_toxicity_table`` has kept."""
+    sums = _shown_batches(spark, path, "windows").groupBy("window_start", "window_end").agg(
+        F.sum("total").alias("total"), F.sum("toxic_count").alias("toxic_count")
+    )
+    return sums.withColumn("toxic_rate", round_half_even(F.try_divide("toxic_count", "total"), 3))
+
+
+def late_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Every row that came after its window was closed, with that window."""
+    return _shown_batches(spark, path, "late")
+
+
 def stream_latency(
     predictions: DataFrame, window: str = "1 hour", watermark: str = "1 hour", ts: str = "ts"
 ) -> DataFrame:

@@ -108,6 +108,81 @@ def test_windows_equal_the_batch_form_and_late_rows_are_counted(spark, folder):
     assert listener.of(query) == 2
 
 
+def test_late_rows_are_kept_whole_and_change_no_window(spark, folder, monkeypatch):
+    def arrive(name, records):
+        put(f"{folder}/in", name, records)
+        run()
+
+    def run():
+        logs = stream_logs(spark, f"{folder}/in", files_per_batch=1)
+        drain(stored.stream_toxicity_table(logs, folder, f"{folder}/state", window="1 hour", watermark="30 minutes"))
+
+    first, second = [record(m, toxic=m % 3 == 0) for m in range(0, 120, 10)], [record(m, toxic=True) for m in range(100, 360, 20)]
+    arrive("a", first)
+    arrive("b", second)
+    shown = rows(stored.stored_toxicity(spark, folder))
+    late = [record(5), record(7), record(65, toxic=True)]
+    arrive("c", [*late, record(301)])
+    on_time = spark.createDataFrame(
+        [(r["timestamp"][:-4], r["is_toxic"]) for r in [*first, *second, record(301)]], "t string, is_toxic boolean"
+    ).select(F.col("t").cast("timestamp").alias("ts"), "is_toxic")
+    assert rows(stored.stored_toxicity(spark, folder)) == rows(stream_toxicity(on_time, window="1 hour"))
+    kept = stored.late_rows(spark, folder)
+    assert sorted(str(r.ts)[11:16] for r in kept.collect()) == ["00:05", "00:07", "01:05"]
+    assert rows(kept.groupBy("window_start").count()) == [("2024-03-01 00:00:00", "2"), ("2024-03-01 01:00:00", "1")]
+    # A batch that ends before its mark does not show; it does when it runs again, once.
+    before = rows(stored.stored_toxicity(spark, folder))
+    put(f"{folder}/in", "d", [record(1), record(302)])
+    with monkeypatch.context() as patch:
+        patch.setattr(stored, "put_once", lambda *_: 1 / 0)
+        with pytest.raises(Exception, match="division"):
+            run()
+    assert rows(stored.stored_toxicity(spark, folder)) == before != shown
+    run()
+    run()
+    assert stored.late_rows(spark, folder).count() == 4
+    assert stored.stored_toxicity(spark, folder).agg(F.sum("total")).first()[0] == len(first) + len(second) + 2
+
+
+def test_a_hot_record_is_spread_before_it_is_dropped(spark, folder):
+    for name in "abcdefgh":
+        put(f"{folder}/in", name, [record(0, text="hot")] * 50 + [record(ord(name))])
+    query = drain(dedupe_log(stream_logs(spark, f"{folder}/in", files_per_batch=8), shards=4).writeStream.format("parquet")
+                  .option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state"))
+    assert spark.read.parquet(f"{folder}/out").count() == 9
+    # The last step meets one copy per shard and no more.
+    steps = [p["stateOperators"] for p in query.recentProgress if p["numInputRows"]][0]
+    rest = min(op["customMetrics"]["numDroppedDuplicateRows"] for op in steps)
+    assert len(steps) == 2 and rest <= 3
+
+
+def test_a_stream_follows_new_model_versions(spark, folder):
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import SQLTransformer
+
+    from modlytics.sources.models import ModelFollower, load_version, newest_model_version, publish_model
+
+    model = lambda n: PipelineModel(stages=[SQLTransformer(statement=f"SELECT *, {n} AS answer FROM __THIS__")])
+    facts = spark.range(1).select(F.lit("rule").alias("algorithm"))
+    path, follow = f"{folder}/models", ModelFollower(spark, f"{folder}/models", lambda df, m: m.transform(df))
+    with pytest.raises(FileNotFoundError):
+        follow(spark.range(1))
+    assert publish_model(model(1), facts, path) == 1
+    old = follow(spark.range(1))
+    seen = []
+    os.makedirs(f"{folder}/in")
+    rates = spark.readStream.schema("id bigint").parquet(f"{folder}/in")
+    def run(n):
+        spark.range(n, n + 1).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        writer = rates.writeStream.foreachBatch(lambda df, _: seen.extend((r.id, r.answer) for r in follow(df).collect()))
+        drain(writer.option("checkpointLocation", f"{folder}/state"))
+    run(1)
+    assert publish_model(model(2), facts, path) == 2
+    run(2)
+    assert seen == [(1, 1), (2, 2)] and old.first().answer == 1
+    assert newest_model_version(spark, path) == 2 and load_version(spark, path, 1)[0].transform(spark.range(1)).first().answer == 1
+
+
 def test_broken_lines_of_a_stream_are_kept(spark, folder):
     put(f"{folder}/in", "a", [record(1), record(2)])
     with open(f"{folder}/in/b.json", "w") as file:
