@@ -23,8 +23,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def stage(function: Stage) -> Stage:
     """A stage that deletes those of its own working tables that its result does not read.
 
-    What the result reads stays as long as the shared folder does: nobody knows which frames are made from
-    it.  Results of several stages and of several calls can be held at a time.
+    What the result reads stays as long as the shared folder does, as nobody knows which frames are made from
+    it; the stages keep that small.  Results of several stages and of several calls can be held at a time.
     """
 
     @functools.wraps(function)
@@ -51,18 +51,45 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept_rows(docs)
 
 
+def placed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with one more column, its name second, that says in which file and where in it a row lies.
+
+    A row keeps its place at every reading, so a stage can keep places alone and take the texts from ``docs`` again.
+    Rows that are not read straight from Parquet files are written first.
+    """
+    relation = docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+    written = docs if relation and docs.inputFiles() and docs.inputFiles()[0].endswith(".parquet") else stored(docs)
+    taken, name = {column.lower() for column in docs.columns}, "place"
+    while name in taken or f"{name}spans" in taken:
+        name += "_"
+    file = written.metadataColumn("_metadata")
+    return written.withColumn(name, F.concat_ws(":", file["file_path"], file["row_index"])), name
+
+
 @stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: the one with the least doc_id; nulls sort last."""
-    return bagminhash.first_rows(docs)
+    """One document of each near-duplicate class: the one with the least doc_id; nulls sort last.
+
+    Null and empty texts are classes by themselves and stay; of repeated rows one stays; an empty table stays empty.
+    """
+    rows, place = placed(docs)
+    marked = bagminhash.classes(rows.select(place, "doc_id", "text"))
+    gone = stored(marked.filter("NOT first_of_class").select(place))
+    return rows.join(gone, place, "left_anti").select(*docs.columns)
 
 
 @stage
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with every secret replaced by a mask; key-like strings that many sources hold stay."""
-    found = secrets.find_secrets(docs)
-    masked = F.when(F.size("spans") > 0, secrets.mask(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
-    return recount(found.withColumn("text", masked).select(*docs.columns))
+    """The documents with every secret replaced by a mask; key-like strings that many sources hold stay.
+
+    Null and empty texts hold nothing, each repeated row is masked by itself, and an empty table stays empty.
+    """
+    rows, place = placed(docs)
+    found = secrets.find_secrets(rows.select(place, "text", "source", "lang"), carry=[place])
+    hits = stored(found.filter(F.size("spans") > 0).select(place, F.col("spans").alias(f"{place}spans")))
+    spans = F.col(f"{place}spans")
+    masked = F.when(spans.isNotNull(), secrets.mask(F.col("text"), spans)).otherwise(F.col("text"))
+    return recount(rows.join(hits, place, "left").withColumn("text", masked).select(*docs.columns))
 
 
 @stage
