@@ -74,7 +74,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     rows, place = placed(docs)
     marked = bagminhash.classes(rows.select(place, "doc_id", "text"))
-    gone = stored(marked.filter("NOT first_of_class").select(place))
+    gone = stored(marked.filter("NOT first_of_class").select(place), "none")
     return rows.join(gone, place, "left_anti").select(*docs.columns)
 
 
@@ -86,7 +86,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """
     rows, place = placed(docs)
     found = secrets.find_secrets(rows.select(place, "text", "source", "lang"), carry=[place])
-    hits = stored(found.filter(F.size("spans") > 0).select(place, F.col("spans").alias(f"{place}spans")))
+    hits = stored(found.filter(F.size("spans") > 0).select(place, F.col("spans").alias(f"{place}spans")), "none")
     spans = F.col(f"{place}spans")
     masked = F.when(spans.isNotNull(), secrets.mask(F.col("text"), spans)).otherwise(F.col("text"))
     return recount(rows.join(hits, place, "left").withColumn("text", masked).select(*docs.columns))
