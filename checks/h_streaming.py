@@ -78,9 +78,10 @@ def h1_tail(spark, sf):
 
 
 def stream_of(spark, sf, name):
-    """A given table as a file stream."""
+    """A given table, one file or a folder of part files, as a file stream."""
     schema = views.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    # A pattern, as only that may be one file as well as a folder of part files.
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 @check(

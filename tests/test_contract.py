@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import glob
+import os
 import re
+import shutil
 
 import duckdb
 import pytest
@@ -66,3 +69,17 @@ def test_scans_read_only_what_is_used(spark):
     plan = plan_of(spark, "e9_exact_match_accuracy")
     assert "text:string" not in plan and "lang:string" not in plan
     assert "PushedFilters" in plan
+
+
+def test_a_stream_reads_a_table_of_one_file_and_a_folder_of_part_files(spark, folder):
+    texts = spark.range(40).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    texts.repartition(4).write.parquet(f"{folder}/parts/documents.parquet")
+    texts.coalesce(1).write.parquet(f"{folder}/one")
+    (part,) = glob.glob(f"{folder}/one/*.parquet")
+    os.makedirs(f"{folder}/file")
+    shutil.copy(part, f"{folder}/file/documents.parquet")
+    found = [
+        rows(frame.columns, frame.collect())
+        for frame in (contract.queries()["h2_stream_moderate"](spark, f"{folder}/{kind}") for kind in ("parts", "file"))
+    ]
+    assert len(found[0]) == 40 and found[0] == found[1]
