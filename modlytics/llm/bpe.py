@@ -45,19 +45,20 @@ def merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     ``pairs`` holds the rank of each two neighbours, of which a merge changes two.
     """
     get = ranks.get
-    starts = list(range(len(piece) + 1))
-    pairs = [get(piece[i : i + 2], NONE) for i in range(len(piece) - 1)]
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    pairs = [get(a + b, NONE) for a, b in zip(parts, parts[1:], strict=False)]
     while pairs:
         best = min(pairs)
         if best == NONE:
             break
         i = pairs.index(best)
-        del starts[i + 1], pairs[i]
+        parts[i] = merged = parts[i] + parts[i + 1]
+        del parts[i + 1], pairs[i]
         if i < len(pairs):
-            pairs[i] = get(piece[starts[i] : starts[i + 2]], NONE)
+            pairs[i] = get(merged + parts[i + 1], NONE)
         if i:
-            pairs[i - 1] = get(piece[starts[i - 1] : starts[i + 1]], NONE)
-    return [ranks[piece[a:b]] for a, b in zip(starts, starts[1:], strict=False)]
+            pairs[i - 1] = get(parts[i - 1] + merged, NONE)
+    return [ranks[part] for part in parts]
 
 
 def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -239,18 +240,29 @@ def encode(docs: DataFrame, tokens: list[bytes], pattern: str, key: str = "doc_i
     return short.unionByName(chunks).withColumnRenamed("key", key)
 
 
+def joined(ids: pa.ListArray, tokens: pa.BinaryArray) -> pa.BinaryArray:
+    """The bytes of each row's tokens, one after the other; a null row stays null.
+
+    Arrow lays the tokens' bytes out in a single buffer, of which the rows are neighbouring parts.
+    """
+    bounds = ids.offsets.to_numpy()
+    laid = tokens.take(ids.values.slice(bounds[0], bounds[-1] - bounds[0]))
+    ends = np.frombuffer(laid.buffers()[1], np.int32)[bounds - bounds[0] + laid.offset] if len(laid) else np.zeros(len(bounds), np.int32)
+    known = pa.py_buffer(np.packbits(~np.asarray(ids.is_null()), bitorder="little").tobytes()) if ids.null_count else None
+    data = laid.buffers()[2] or pa.py_buffer(b"")
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ids), [known, pa.py_buffer(ends.tobytes()), data])
+
+
 def decode(encoded: DataFrame, tokens: list[bytes], key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """``key``, ``ids`` and ``raw``: the bytes of the tokens, one after the other; null ids give null bytes."""
     shared = encoded.sparkSession.sparkContext.broadcast(tokens)
     kind = encoded.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known = pa.array(shared.value, pa.binary())
         for batch in batches:
-            raw = []
-            for part in slices(batch.select([1])):
-                raw += [None if row is None else b"".join(map(known.__getitem__, row)) for row in part["ids"]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw, pa.binary())], ["key", "ids", "raw"])
+            raw = joined(batch.column(1), known)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), raw], ["key", "ids", "raw"])
 
     rows = encoded.select(F.col(key).alias("key"), F.col(ids).alias("ids"))
     return rows.mapInArrow(run, f"key {kind}, ids array<int>, raw binary").withColumnRenamed("key", key)

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -63,3 +64,13 @@ def test_awkward_rows(awkward, empty):
     assert sorted(r.n_tokens == 0 for r in out.collect()) == [False] * 6 + [True] * 2
     assert bpe.digests(empty, TOKENS, public_tokenizers.PATTERN).count() == 0
     assert bpe.decode(awkward.select("doc_id", F.lit(None).cast("array<int>").alias("ids")), TOKENS).filter("raw is null").count() == 8
+
+
+def test_rows_are_joined_without_a_list_of_tokens():
+    tokens = pa.array([b"a", b"", b"\xff\x00", b"word"], pa.binary())
+    rows = [[3, 0], None, [], [2, 1, 2], [0], None, [3] * 5]
+    want = [None if row is None else b"".join(tokens[i].as_py() for i in row) for row in rows]
+    ids = pa.array(rows, pa.list_(pa.int32()))
+    for low in range(len(rows) + 1):
+        for high in range(low, len(rows) + 1):
+            assert bpe.joined(ids[low:high], tokens).to_pylist() == want[low:high]
