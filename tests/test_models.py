@@ -174,3 +174,17 @@ def test_a_failed_fit_is_skipped(separable):
     assert list(training.train_all(prepared, (bad, good))) == ["good"]
     with pytest.raises(ValueError, match="No models were trained successfully"):
         training.train_all(prepared, (bad,))
+
+
+def test_tree_fits_get_partitions_of_bounded_rows(spark, separable):
+    train = training.prepare_vectors(separable).train.coalesce(1)
+    width, rows = train.first().features.size, train.count()
+    sizes = lambda df: [len(part) for part in df.rdd.glom().collect()]
+    assert sizes(training.tree_rows(train)) == [rows]
+    dealt = training.tree_rows(train, cells=width * 20)
+    # Dealing out may miss an even share by a row.
+    assert sum(sizes(dealt)) == rows and max(sizes(dealt)) <= 21
+    ids = lambda df: sorted(row.comment_id for row in df.collect())
+    assert ids(dealt) == ids(train)
+    assert training.tree_rows(train.limit(0)).count() == 0
+    assert [config.trees for config in training.CONFIGS] == [False, True, True]
