@@ -66,14 +66,32 @@ def unpacked(raw: bytes, shape: Shape) -> Weights:
     return weights
 
 
-def step(entered: np.ndarray, state: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, ...]:
-    """One step of the gated unit: the new state, and what the way back needs."""
-    width = state.shape[1]
+def blocks(matrix: np.ndarray) -> np.ndarray:
+    """Columns of a gated unit as three matrices, one behind the other: what enters a gate lies together."""
+    return np.ascontiguousarray(matrix.reshape(len(matrix), 3, -1).transpose(1, 0, 2))
+
+
+def gated(entered: np.ndarray, state: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One step of the gated unit on blocks: the new state, and what the way back needs."""
     turned = state @ turn
-    gates = np.tanh((entered[:, : 2 * width] + turned[:, : 2 * width]) * 0.5) * 0.5 + 0.5
-    keep, reset = gates[:, :width], gates[:, width:]
-    new = np.tanh(entered[:, 2 * width :] + reset * turned[:, 2 * width :])
-    return new + keep * (state - new), keep, reset, new, turned[:, 2 * width :]
+    gates = entered[:2] + turned[:2]
+    gates *= 0.5
+    np.tanh(gates, out=gates)
+    gates *= 0.5
+    gates += 0.5
+    keep, reset = gates
+    new = reset * turned[2]
+    new += entered[2]
+    np.tanh(new, out=new)
+    after = state - new
+    after *= keep
+    after += new
+    return after, keep, reset, new, turned[2]
+
+
+def step(entered: np.ndarray, state: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``gated`` on matrices with the gates' columns side by side."""
+    return gated(blocks(entered), state, blocks(turn))
 
 
 def bounded(weights: np.ndarray, lean: np.ndarray) -> bool:
@@ -141,41 +159,42 @@ def log_chances(states: np.ndarray, ids: np.ndarray, weights: Weights, shape: Sh
     return given, pull
 
 
-def score(texts: list[np.ndarray], start: int, weights: Weights, shape: Shape, buffer: int = 16_384) -> np.ndarray:
+def score(texts: list[np.ndarray], start: int, weights: Weights, shape: Shape, buffer: int = 16_384, together: int = 512) -> np.ndarray:
     """ln P of each id sequence, whole; the state goes on from window to window to a sequence's end.
 
-    All sequences take a step together, the longest first, so those that have ended drop off the end.
-    States wait until there are enough of them for one pass through the softmax.
+    ``together`` sequences of like length take a step together, the longest first, so those that have ended drop
+    off the end.  States wait until there are enough of them for one pass through the softmax.
     """
     order = np.argsort([-len(text) for text in texts], kind="stable")
-    lengths = np.array([len(texts[i]) for i in order])
+    lengths = np.array([len(texts[i]) for i in order], np.int64)
     total = np.zeros(len(texts))
-    entered = weights["embed"] @ weights["enter"] + weights["lean"]
-    starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-    flat = np.concatenate([texts[i] for i in order]) if len(texts) else np.empty(0, np.int64)
-    state = np.zeros((len(texts), shape.width), np.float32)
-    before = np.full(len(texts), start)
+    entered, turn = blocks(weights["embed"] @ weights["enter"] + weights["lean"]), blocks(weights["turn"])
     states, wanted, owners, held = [], [], [], 0
 
     def flush() -> None:
         if held:
             found, _ = log_chances(np.concatenate(states), np.concatenate(wanted), weights, shape)
-            np.add.at(total, np.concatenate(owners), found)
-
-    active = int((lengths > 0).sum())
-    for at in range(int(lengths.max(initial=0))):
-        while active and lengths[active - 1] <= at:
-            active -= 1
-        state = step(entered[before[:active]], state[:active], weights["turn"])[0]
-        now = flat[starts[:active] + at]
-        states.append(state)
-        wanted.append(now)
-        owners.append(order[:active])
-        held += active
-        before = now
-        if held >= buffer:
-            flush()
-            states, wanted, owners, held = [], [], [], 0
+            total[:] += np.bincount(np.concatenate(owners), found, len(total))
+
+    for first in range(0, int((lengths > 0).sum()), together):
+        mine, sizes = order[first : first + together], lengths[first : first + together]
+        flat = np.concatenate([texts[i] for i in mine])
+        starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+        state = np.zeros((len(mine), shape.width), np.float32)
+        before = np.full(len(mine), start)
+        active = int((sizes > 0).sum())
+        for at in range(int(sizes[0])):
+            while sizes[active - 1] <= at:
+                active -= 1
+            state = gated(entered.take(before[:active], axis=1), state[:active], turn)[0]
+            before = flat[starts[:active] + at]
+            states.append(state)
+            wanted.append(before)
+            owners.append(mine[:active])
+            held += active
+            if held >= buffer:
+                flush()
+                states, wanted, owners, held = [], [], [], 0
     flush()
     return total
 
@@ -190,14 +209,24 @@ class Trainer:
 
     def update(self, back: Weights) -> None:
         self.seen += 1
-        norm = float(np.sqrt(sum(float((value**2).sum()) for value in back.values())))
+        norm = float(np.sqrt(sum(float(np.vdot(value, value)) for value in back.values())))
         scale = min(1.0, 1.0 / max(norm, 1e-9))
         rate = self.rate * np.sqrt(1 - 0.98**self.seen) / (1 - 0.9**self.seen)
         for name, pull in back.items():
-            pull *= scale
-            self.mean[name] += 0.1 * (pull - self.mean[name])
-            self.spread[name] += 0.02 * (pull * pull - self.spread[name])
-            self.weights[name] -= rate * self.mean[name] / (np.sqrt(self.spread[name]) + 1e-8)
+            # In place, so that nothing is written that is not read again at once.
+            mean, spread = self.mean[name], self.spread[name]
+            mean *= 0.9
+            pull *= 0.1 * scale
+            mean += pull
+            np.multiply(pull, pull, out=pull)
+            pull *= 0.02 / 0.1**2
+            spread *= 0.98
+            spread += pull
+            np.sqrt(spread, out=pull)
+            pull += 1e-8
+            np.divide(mean, pull, out=pull)
+            pull *= rate
+            self.weights[name] -= pull
 
     def learn(self, ids: np.ndarray, start: int, window: int) -> float:
         """Steps over a matrix of sequences of one length, window by window; the state goes on, gradients stop.
@@ -213,39 +242,45 @@ class Trainer:
         for low in range(0, len(ids), window):
             part = ids[low : low + window]
             inputs = np.concatenate([before[None], part[:-1]])
-            entered = (weights["embed"] @ weights["enter"] + weights["lean"])[inputs]
+            turn, enter = blocks(weights["turn"]), blocks(weights["enter"])
+            entered = (weights["embed"] @ enter + weights["lean"].reshape(3, 1, width)).take(inputs, axis=1)
             trace, states = [], [state]
-            for now in entered:
-                found = step(now, states[-1], weights["turn"])
+            for at in range(len(part)):
+                found = gated(entered[:, at], states[-1], turn)
                 states.append(found[0])
                 trace.append(found[1:])
             back = {name: np.zeros_like(value) for name, value in weights.items()}
-            chances, pull = log_chances(np.concatenate(states[1:]), part.reshape(-1), weights, shape, back)
+            held = np.concatenate(states)
+            chances, pull = log_chances(held[rows:], part.reshape(-1), weights, shape, back)
             told += float(chances.sum())
             pull = pull.reshape(len(part), rows, width)
-            onward, turned_back = np.zeros((rows, width), np.float32), np.ascontiguousarray(weights["turn"].T)
-            entering = np.empty_like(entered)
-            turning = np.empty((rows, 3 * width), entered.dtype)
+            onward, turned_back = np.zeros((rows, width), np.float32), np.ascontiguousarray(turn.transpose(0, 2, 1))
+            entering, turning = np.empty_like(entered), np.empty_like(pull)
             for at in reversed(range(len(part))):
                 keep, reset, new, turned = trace[at]
-                down, into = pull[at] + onward, entering[at]
-                new_in = down * (1 - keep) * (1 - new * new)
-                into[:, :width] = down * (states[at] - new) * keep * (1 - keep)
-                into[:, width : 2 * width] = new_in * turned * reset * (1 - reset)
-                into[:, 2 * width :] = new_in
-                turning[:, : 2 * width] = into[:, : 2 * width]
-                np.multiply(new_in, reset, out=turning[:, 2 * width :])
-                back["turn"] += states[at].T @ turning
-                onward = down * keep + turning @ turned_back
-            # Gradients are added up by id before the products with the weights.
-            flat, read = entering.reshape(-1, 3 * width), inputs.reshape(-1)
-            order = np.argsort(read.astype(np.int32), kind="stable")
-            ordered = read[order]
-            starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-            sums, there = np.add.reduceat(flat[order], starts, axis=0), ordered[starts]
-            back["embed"][there] = sums @ weights["enter"].T
-            back["enter"] += weights["embed"][there].T @ sums
-            back["lean"] += sums.sum(axis=0)
+                down, into, scaled = pull[at] + onward, entering[:, at], turning[at]
+                onward = down * keep
+                down -= onward
+                np.multiply(down, keep, out=into[0])
+                into[0] *= states[at] - new
+                np.multiply(new, new, out=new)
+                np.subtract(1, new, out=new)
+                np.multiply(down, new, out=into[2])
+                np.multiply(into[2], reset, out=scaled)
+                np.multiply(scaled, turned, out=into[1])
+                into[1] *= 1 - reset
+                onward += into[0] @ turned_back[0]
+                onward += into[1] @ turned_back[1]
+                onward += scaled @ turned_back[2]
+            flat, read = entering.reshape(3, -1, width), inputs.reshape(-1)
+            earlier, embedded = held[:-rows].T, weights["embed"][read].T
+            back["turn"] += np.concatenate([earlier @ flat[0], earlier @ flat[1], earlier @ turning.reshape(-1, width)], axis=1)
+            back["enter"] += np.concatenate(list(embedded @ flat), axis=1)
+            back["lean"] += (np.ones(len(read), flat.dtype) @ flat).reshape(-1)
+            # Of the rows that read one id, gradients add up.
+            pulled = enter[0] @ flat[0].T + enter[1] @ flat[1].T + enter[2] @ flat[2].T
+            for place, column in enumerate(pulled):
+                back["embed"][:, place] = np.bincount(read, column, len(back["embed"]))
             self.update(back)
             state, before = states[-1], part[-1]
         return told / ids.size

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modlytics.llm import gru
-from modlytics.llm.common import slices, stored, text_bytes
+from modlytics.llm.common import stored, text_bytes
 
 #: Stands for the end of a text; no word is empty.
 END = b""
@@ -45,33 +45,38 @@ class Settings:
     seed: int = 5
 
 
-def tokens(text: bytes) -> list[bytes]:
-    """The words in lower-case A-Z, and the end."""
-    words = text.lower().split()
-    words.append(END)
-    return words
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """What stands between the white space of each text with a blank on both sides, in one array, and each text's places.
 
+    The first of a text is empty and no token; then come its words in lower-case A-Z, and the end.
+    """
+    spaced = pc.binary_join_element_wise(" ", pc.ascii_lower(texts.view(pa.string())), " ", "")
+    lists = pc.ascii_split_whitespace(spaced)
+    ends = lists.offsets.to_numpy()
+    return lists.flatten(), ends - ends[0]
 
-def count_words(texts: DataFrame, limit: int = 250_000) -> DataFrame:
-    """(word, c) over all tokens of the column ``text``; tasks add up before anything is shuffled."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+def parts(column: pa.Array, most: int = 16 << 20) -> Iterator[pa.Array]:
+    """The texts in pieces of about ``most`` bytes, one text at least."""
+    sizes = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(column):
+        done = sizes[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(sizes, done + most, "right")))
+        yield column.slice(start, end - start)
+        start = end
 
-        def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "c"]
-            )
-            counts.clear()
-            return batch
 
+def count_words(texts: DataFrame) -> DataFrame:
+    """(word, c) over all tokens of the column ``text``; tasks add up before anything is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                for value in part["text"]:
-                    counts.update(tokens(value))
-                if len(counts) > limit:
-                    yield flush()
-        yield flush()
+            for part in parts(batch.column("text")):
+                words, counts = pc.value_counts(tokens(part)[0]).flatten()
+                # Of the two empty ones of a text, one is its end.
+                counts = pc.if_else(pc.equal(words, ""), pc.subtract(counts, len(part)), counts)
+                yield pa.RecordBatch.from_arrays([words.view(pa.binary()), counts], ["word", "c"])
 
     return texts.select("text").mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -80,11 +85,11 @@ def count_words(texts: DataFrame, limit: int = 250_000) -> DataFrame:
 class Vocabulary:
     """The frequent words with their counts, the classes of all others, and the totals.
 
-    ``ids`` are the network's: a word's rank, or behind the words the class of a rare word.  ``share``
+    ``listed`` holds the words, the arrays beside it what belongs to each.  ``ids`` are the network's: a word's rank, or behind the words the class of a rare word.  ``share``
     is log10 of a rare word's share in its class, 0 for words with an output of their own.
     """
 
-    places: dict[bytes, int]
+    listed: pa.Array
     ids: np.ndarray
     more: np.ndarray
     share: np.ndarray
@@ -97,16 +102,48 @@ class Vocabulary:
     def tail(self, word: bytes) -> int:
         return self.endings.get(word[-3:], len(self.class_totals) - 1)
 
-    def read(self, text: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """The network's ids, the places of known words (-1 for others), and the other words."""
-        words = tokens(text)
-        get = self.places.get
-        places = np.array([get(word, -1) for word in words], np.int64)
+    def read(self, texts: pa.Array) -> Read:
+        """All texts as ids, without a look-up in Python of each word."""
+        words, ends = tokens(texts)
+        places = pc.fill_null(pc.index_in(words, value_set=self.listed.view(pa.string())), -1).to_numpy()
+        other = np.flatnonzero(places < 0)
+        rare = words.take(pa.array(other)).dictionary_encode()
+        kinds = rare.indices.to_numpy()
+        distinct = rare.dictionary.view(pa.binary())
         ids = self.ids[places]
-        other = np.flatnonzero(places < 0).tolist()
-        rare = [words[at] for at in other]
-        ids[other] = [self.shape.words + self.tail(word) for word in rare]
-        return ids, places, rare
+        tails = np.array([self.tail(word) for word in distinct.to_pylist()], np.int64)
+        ids[other] = self.shape.words + tails[kinds]
+        # The first of each text is none of its tokens, and never rare.
+        firsts = ends[:-1]
+        return Read(np.delete(ids, firsts), np.delete(places, firsts), ends - np.arange(len(ends)), np.searchsorted(firsts, other, "right") - 1, kinds, distinct)
+
+
+@dataclass
+class Read:
+    """Texts as the network's ``ids`` and the ``places`` of listed words (-1 for others), text after text; ``ends`` bound the texts.
+
+    Of the other words, ``owners`` are their texts and ``kinds`` their places in ``distinct``.
+    """
+
+    ids: np.ndarray
+    places: np.ndarray
+    ends: np.ndarray
+    owners: np.ndarray
+    kinds: np.ndarray
+    distinct: pa.Array
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Of one value a token, the sum of each text."""
+        return np.add.reduceat(values, self.ends[:-1]) if len(values) else values
+
+    def texts(self) -> list[np.ndarray]:
+        return [self.ids[start:end] for start, end in zip(self.ends, self.ends[1:])]
+
+    def rare(self) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The distinct other words of each text, how often each, and where those of each text end."""
+        keys, times = np.unique(self.owners * max(1, len(self.distinct)) + self.kinds, return_counts=True)
+        owners, kinds = np.divmod(keys, max(1, len(self.distinct)))
+        return self.distinct.take(pa.array(kinds)), times, np.searchsorted(owners, np.arange(len(self.ends)))
 
 
 def ending(word: Column) -> Column:
@@ -160,8 +197,7 @@ def vocabulary(counts: DataFrame, settings: Settings) -> Vocabulary:
     totals = np.array([row["mass"] for row in top] + [masses["mass"] - sum(row["mass"] for row in top)], np.float64) + 1
     tail_counts = [row["c"] for row in top] + [masses["c"] - sum(row["c"] for row in top)]
     shape = gru.Shape(words, len(totals), width=settings.width)
-    found = Vocabulary({}, np.zeros(0), np.zeros(0), np.zeros(0), endings, totals, shape, sums["total"], sums["distinct"])
-    found.places = {word: place for place, (word, _) in enumerate(listed)}
+    found = Vocabulary(pa.array([word for word, _ in listed], pa.binary()), np.zeros(0), np.zeros(0), np.zeros(0), endings, totals, shape, sums["total"], sums["distinct"])
     kinds = np.array([0 if word in own else found.tail(word) for word, _ in listed])
     place = np.arange(len(listed))
     found.ids = np.where(place < words, place, words + kinds)
@@ -188,8 +224,8 @@ def warm_up(texts: DataFrame, known: Vocabulary, shared, settings: Settings) ->
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for part in slices(batch):
-                found += [shared.value.read(value)[0][: settings.warm_tokens].astype("<i4").tobytes() for value in part["text"]]
+            for part in parts(batch.column("text")):
+                found += [ids[: settings.warm_tokens].astype("<i4").tobytes() for ids in shared.value.read(part).texts()]
             yield pa.RecordBatch.from_arrays([batch.column("draw"), pa.array(found, pa.binary())], ["draw", "ids"])
 
     rows = sorted(drawn(texts, known.frequencies[0], settings).mapInArrow(read, "draw bigint, ids binary").collect(), key=lambda row: (row["draw"], row["ids"]))
@@ -231,8 +267,8 @@ def passes(texts: DataFrame, shared, begin, settings: Settings) -> DataFrame:
         rest, ready, held, seen, number = np.empty(0, np.int64), [], 0, 0, 0
         part = 0
         for batch in batches:
-            for piece in slices(batch):
-                stream = np.concatenate([rest, *(known.read(value)[0] for value in piece["text"])])
+            for piece in parts(batch.column("text")):
+                stream = np.concatenate([rest, known.read(piece).ids])
                 cut = segments(stream, settings)
                 rest = stream[cut.size :]
                 part = part or int(stream[: 64].sum())
@@ -296,27 +332,25 @@ def score_texts(docs: DataFrame, learn: Column, carry: list[str], text: str = "t
         mine = gru.unpacked(final.value, known.shape)
         log_totals = np.log10(known.class_totals)
         for batch in batches:
-            sizes, common, base, scores = [], [], [], []
-            words, times, ends = [], [], [0]
-            for part in slices(batch.select(["text"]), settings.texts):
-                ids = []
-                for value in part["text"]:
-                    read, places, rare = known.read(value)
-                    ids.append(read)
-                    there = places[places >= 0]
-                    sizes.append(len(read))
-                    common.append(int((known.more[there] > 0).sum()))
-                    base.append(float(known.more[there].sum()))
-                    tails = read[places < 0] - known.shape.words
-                    scores.append(float(known.share[there].sum()) - float(log_totals[tails].sum()))
-                    each = Counter(rare)
-                    words += each.keys()
-                    times += each.values()
-                    ends.append(len(words))
-                told = gru.score(ids, 0, mine, known.shape) / np.log(10)
-                scores[-len(ids) :] = (np.array(scores[-len(ids) :]) + told).tolist()
-            pairs = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int32())], ["word", "n"])
-            rares = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+            sizes, common, base, scores, rares, ids = [], [], [], [], [], []
+            for start in range(0, batch.num_rows, settings.texts):
+                read = known.read(batch.column("text").slice(start, settings.texts))
+                there = read.places >= 0
+                more = np.where(there, known.more[read.places], 0.0)
+                shares = np.where(there, known.share[read.places], 0.0)
+                shares[~there] -= log_totals[read.ids[~there] - known.shape.words]
+                sizes.append(np.diff(read.ends))
+                common.append(read.sums((more > 0).astype(np.int64)))
+                base.append(read.sums(more))
+                scores.append(read.sums(shares))
+                ids += read.texts()
+                words, times, ends = read.rare()
+                pairs = pa.StructArray.from_arrays([words, pa.array(times, pa.int32())], ["word", "n"])
+                rares.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs))
+            if not sizes:
+                continue
+            sizes, common, base, scores, rares = *(np.concatenate(found) for found in (sizes, common, base, scores)), pa.concat_arrays(rares)
+            scores += gru.score(ids, 0, mine, known.shape) / np.log(10)
             keep = [batch.column(place) for place in range(len(carry))]
             yield pa.RecordBatch.from_arrays(
                 [*keep, batch.column("row"), pa.array(sizes, pa.int64()), pa.array(common, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), rares],

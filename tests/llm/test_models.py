@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,6 +206,41 @@ def test_network_state_is_carried_through_the_whole_text():
         assert got == pytest.approx(want, rel=1e-4, abs=1e-6)
 
 
+def test_language_model_reads_texts_as_python_splits_them():
+    """All texts at once, with any bytes and from the middle of an array; ids, rare words and pieces."""
+    rng = random.Random(1)
+    signs = [b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r", b"\x1c", b"\xc2\x85", b"\xc2\xa0", b"A", b"b", b"Z", b"\xc3\x89", b"\xff", b"\x00"]
+    texts = [b"", b" ", b"  a"] + [b"".join(rng.choice(signs) for _ in range(rng.randrange(25))) for _ in range(500)]
+    column = pa.array([b"other", *texts], pa.binary()).slice(1)
+    split = [[*text.lower().split(), b""] for text in texts]
+    listed = [b""] + [word for word, _ in Counter(word for words in split for word in words if word).most_common(20)]
+    places = np.arange(len(listed))
+    known = lm.Vocabulary(pa.array(listed, pa.binary()), places, places, places, {b"a": 0, b"\xff": 1}, np.ones(3), gru.Shape(len(listed), 3), 1, 1)
+    read = known.read(column)
+    rare, times, ends = read.rare()
+    rare, rank = rare.to_pylist(), {word: place for place, word in enumerate(listed)}
+    for at, (words, ids) in enumerate(zip(split, read.texts(), strict=True)):
+        assert ids.tolist() == [rank.get(word, len(listed) + known.tail(word)) for word in words]
+        found = dict(zip(rare[ends[at] : ends[at + 1]], times[ends[at] : ends[at + 1]].tolist()))
+        assert found == Counter(word for word in words if word not in rank)
+    assert read.sums(np.ones(len(read.ids), np.int64)).tolist() == [len(words) for words in split]
+    pieces = list(lm.parts(column, 100))
+    assert len(pieces) > 20 and [text for piece in pieces for text in piece.to_pylist()] == texts
+    nothing = known.read(column.slice(0, 0))
+    assert len(nothing.ids) == 0 and nothing.texts() == [] and len(nothing.rare()[0]) == 0
+
+
+def test_network_scores_do_not_depend_on_what_steps_together():
+    rng = np.random.default_rng(6)
+    shape = gru.Shape(20, 4, group=8, width=6)
+    weights = gru.fresh(shape, np.ones(24), 3)
+    texts = [rng.integers(0, 24, n) for n in (0, 40, 1, 300, 7, 0, 300, 12)]
+    alone = np.concatenate([gru.score([text], 0, weights, shape) for text in texts])
+    assert alone[0] == 0
+    for together in (1, 3, 512):
+        assert gru.score(texts, 0, weights, shape, buffer=50, together=together) == pytest.approx(alone, rel=1e-5)
+
+
 def test_many_equally_frequent_words_fill_the_vocabulary(spark):
     counts = spark.range(3000).select(F.col("id").cast("string").cast("binary").alias("word"), F.lit(7).cast("bigint").alias("c"))
     taken = lm.frequent(counts, 2000)
