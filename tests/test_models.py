@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import random
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from modlytics.operators import evaluation, features, training
-from modlytics.plans.training import run_training
+from modlytics.plans.training import run_metrics, run_training
 from modlytics.schema import LABELS
 from modlytics.sources.models import load_model
 
@@ -177,6 +178,27 @@ def test_a_failed_fit_is_skipped(separable):
         training.train_all(prepared, (bad,))
 
 
+def test_a_failed_fit_does_not_look_like_a_result(spark, separable, folder):
+    def broken(label, total, seed=42):
+        raise RuntimeError("no")
+
+    prepared = training.prepare_vectors(separable)
+    bad = training.ModelConfig("bad", "Bad", broken)
+    good = training.ModelConfig("good", "LogisticRegression", training.logistic, {"max_iter": 2})
+    trained = training.train_all(prepared, (bad, good))
+    assert {name: str(error) for name, error in trained.failed.items()} == {"bad": "no"}
+    with pytest.raises(ValueError, match="No models of bad"):
+        run_metrics(prepared, trained, configs=(bad, good))
+    assert run_metrics(prepared, trained, configs=(bad, good), skip_failed=True).select("model_name").distinct().count() == 1
+    with pytest.raises(RuntimeError, match="bad training failed"):
+        training.train_all(prepared, (good, bad), skip_failed=False)
+    with pytest.raises(RuntimeError, match="bad training failed"):
+        run_training(separable, folder, configs=(good, bad))
+    assert not os.listdir(folder)
+    run = run_training(separable, folder, configs=(good, bad), skip_failed=True)
+    assert (run.best_name, list(run.failed)) == ("good", ["bad"])
+
+
 def test_tree_fits_get_partitions_of_bounded_rows(spark, separable):
     train = training.prepare_vectors(separable).train.coalesce(1)
     width, rows = train.first().features.size, train.count()
