@@ -3,12 +3,13 @@ from __future__ import annotations
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from modlytics.operators import evaluation, features, training
+from modlytics.operators import boosting, evaluation, features, training
 from modlytics.plans.training import run_metrics, run_training
 from modlytics.schema import LABELS
 from modlytics.sources.models import load_model
@@ -243,3 +244,42 @@ def test_boosted_trees_of_several_labels_are_sparks(spark):
         assert told.keys() == wanted.keys() and sum(abs(told[i] - wanted[i]) > 1e-9 for i in wanted) <= 12
         assert told == pytest.approx(wanted, abs=0.02)
         assert model.featureImportances.toArray().sum() == pytest.approx(1)
+
+
+def test_boosted_trees_of_few_set_features_cost_no_jobs_a_round(spark, monkeypatch):
+    """One task grows a label's trees, the same as ranges of features do, and no job belongs to a round."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(500):
+        values = {place: rng.choice([-2.0, -0.5, 0.0, rng.random()]) for place in range(30) if rng.random() < (0.9 if place < 3 else 0.1)}
+        pull = values.get(0, 0.0) + values.get(5, 0.0) + rng.gauss(0, 0.5)
+        rows.append((Vectors.sparse(30, values), int(pull > 0), int(values.get(2, 0.0) > 0.3), int(rng.random() < 0.02)))
+    train = spark.createDataFrame(rows, ["features", "toxic", "insult", "threat"]).repartition(5).cache()
+    labels = ("toxic", "insult", "threat")
+
+    def fitted(group: str, rounds: int) -> list[str]:
+        spark.sparkContext.setJobGroup(group, group)
+        models = training.fit_labels(train, training.CONFIGS[2], labels=labels, rounds=rounds, depth=4)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return [model.toDebugString.split("\n", 1)[1] for model in models]
+
+    jobs = lambda group: len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    train.count()
+    fitted("two rounds", 2)
+    alone = fitted("five rounds", 5)
+    assert jobs("two rounds") == jobs("five rounds") > 0
+    for name, value in (("PIECE", 100), ("SPARSE", 1), ("SPARSE", 10**6)):
+        monkeypatch.setattr(boosting, name, value)
+        assert fitted("pieces", 5) == alone
+    monkeypatch.setattr(boosting, "ALONE", 0)
+    assert fitted("ranges", 5) == alone
+
+
+def test_chosen_thresholds():
+    """Few values: all middles, with the unset rows' zero; many: those nearest to equal shares."""
+    told = boosting.chosen(np.array([-1.0, 2.0]), np.array([1, 3]), 10.0, 31)
+    assert told.tolist() == [-0.5, 1.0]
+    assert boosting.chosen(np.array([5.0]), np.array([4]), 4.0, 31).tolist() == []
+    assert boosting.chosen(np.arange(1.0, 9.0), np.ones(8, int), 8.0, 3).tolist() == [2.5, 4.5, 6.5]
+    # One value holds most of the rows.
+    assert boosting.chosen(np.array([1.0, 2.0, 3.0, 4.0]), np.array([1, 97, 1, 1]), 100.0, 2).tolist() == [1.5, 2.5]
