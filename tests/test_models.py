@@ -9,7 +9,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from modlytics.operators import boosting, evaluation, features, training
+from modlytics.operators import boosting, evaluation, features, forests, training
 from modlytics.plans.training import run_metrics, run_training
 from modlytics.schema import LABELS
 from modlytics.sources.models import load_model
@@ -283,3 +283,64 @@ def test_chosen_thresholds():
     assert boosting.chosen(np.arange(1.0, 9.0), np.ones(8, int), 8.0, 3).tolist() == [2.5, 4.5, 6.5]
     # One value holds most of the rows.
     assert boosting.chosen(np.array([1.0, 2.0, 3.0, 4.0]), np.array([1, 97, 1, 1]), 100.0, 2).tolist() == [1.5, 2.5]
+
+
+def _set_few(spark, rows: int, size: int, seed: int):
+    rng = random.Random(seed)
+    out = []
+    for i in range(rows):
+        values = {place: rng.choice([-1.0, rng.random() * 3, rng.random()]) for place in range(size) if rng.random() < 0.35}
+        pull = 2 * values.get(1, 0.0) - values.get(4, 0.0) + rng.gauss(0, 1)
+        vector = Vectors.sparse(size, values) if i % 5 else Vectors.dense([values.get(place, 0.0) for place in range(size)])
+        out.append((i, vector, int(pull > 0.5), int(rng.random() < 0.05), 0))
+    return spark.createDataFrame(out, ["id", "features", "toxic", "insult", "threat"]).repartition(3).cache()
+
+
+def test_forests_without_draws_are_sparks(spark):
+    """All rows and all features for every tree: the trees of Spark's own fit, with weights and pruning."""
+    train = _set_few(spark, 600, 9, 8)
+
+    def make(label, total, seed=42):
+        return training.forest(label, total, trees=2, depth=5).setBootstrap(False).setFeatureSubsetStrategy("all")
+
+    told, wanted = (
+        training.fit_labels(train, training.ModelConfig("forest", "Forest", make, trees=True, together=together), labels=("insult", "threat", "toxic"))
+        for together in (forests.fit_forests, None)
+    )
+    assert not hasattr(told[1], "trees")
+    for model, own in zip((told[0], told[2]), (wanted[0], wanted[2])):
+        assert (model.getNumTrees, model.numClasses, model.numFeatures) == (2, 2, 9)
+        assert [tree.numNodes for tree in model.trees] == [tree.numNodes for tree in own.trees]
+        a, b = (
+            {r.id: r.p[1] for r in m.setProbabilityCol("p").setRawPredictionCol("raw").setPredictionCol("flag").transform(train).collect()}
+            for m in (model, own)
+        )
+        # Spark adds weights up in the order of rows, so near equal gains may fall otherwise.
+        assert sum(abs(a[i] - b[i]) > 1e-9 for i in b) <= 6
+        assert model.featureImportances.toArray() == pytest.approx(own.featureImportances.toArray(), abs=0.02)
+
+
+def test_forests_do_not_depend_on_ranges(spark, monkeypatch):
+    """Draws of rows and features are the same in every range of features, however many there are and trees grow at a time."""
+    train = _set_few(spark, 400, 40, 9)
+    fitted = lambda **few: [
+        m.toDebugString.split("\n", 1)[1] for m in training.fit_labels(train, training.CONFIGS[1], labels=("toxic", "insult"), trees=7, depth=5, **few)
+    ]
+    told = fitted()
+    assert len(set(told[0].split("Tree "))) == 8
+    monkeypatch.setattr(forests, "RANGE", 250)
+    monkeypatch.setattr(forests, "PIECE", 30)
+    monkeypatch.setattr(forests, "PLACES", 1200)
+    assert fitted() == told
+
+
+def test_bags_and_draws(spark):
+    part = forests.Columns(0, *[np.empty(0, int)] * 6, (0, 0), np.ones(5000, np.int8))
+    slots, times = forests.bagged(part, range(3, 5), 42, 1.0, True)
+    assert abs(times.mean() - 1) < 0.05 and abs((times == 0).mean() - np.exp(-1)) < 0.03
+    assert ((slots == 0) == (times > 0)).all() and set(np.unique(slots)) == {-1, 0}
+    assert (times[1] == forests.bagged(part, range(4, 5), 42, 1.0, True)[1][0]).all() and (times[0] != times[1]).any()
+    assert forests.bagged(part, range(1), 42, 1.0, False)[1].min() == 1
+    names = ("auto", "sqrt", "all", "log2", "onethird", "7", "0.25")
+    assert [forests.features_per_node(name, 101, 10) for name in names] == [11, 11, 101, 7, 34, 7, 26]
+    assert forests.features_per_node("auto", 101, 1) == 101
